@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, sharding, simhash, token_files
+from . import exact_dedup, packing, sharding, simhash, suffix_dedup, token_files
 from .common import documents
 
 
@@ -19,6 +19,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        suffix_dedup.removed_bytes().alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
@@ -53,6 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
