@@ -100,6 +100,13 @@ class Encoder:
             return ids if core == word else ids + self.bare[word[len(core) :]]
         return self._library(lead + word)
 
+    def encode_piece(self, piece: str) -> bytes:
+        """Ids of one piece of a text, with the space that it may begin with; nothing is remembered."""
+        word = piece.removeprefix(" ")
+        if any(s in piece for s in self.special) or len(word.split()) != 1 or word != word.strip():
+            return self._library(piece)
+        return self._word(word, " " if word != piece else "")
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
