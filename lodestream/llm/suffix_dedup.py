@@ -313,10 +313,12 @@ def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _marks(*_merged(doc[nth], start[nth] + copies - (ends - sizes)[nth], np.ones(len(copies), np.int64)))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(all rows with doc_id, doc, bytes; one row per doc): doc is an order-preserving integer key."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(all rows with doc_id, doc, bytes, carried; one row per doc): doc is an order-preserving integer key."""
     rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes")
+        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
     plain = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     if plain:
@@ -327,7 +329,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     keys = written(ordered.withColumn("doc", F.monotonically_increasing_id()), "document-keys")
     named = keys.withColumnRenamed("doc_id", "own_id")
     keyed = rows.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (told == F.col("text_hash")))
-    keyed = keyed.select("doc_id", "doc", "bytes")
+    keyed = keyed.drop("text_hash", "own_id")
     return keyed, keyed.dropDuplicates(["doc"])
 
 
@@ -347,7 +349,7 @@ def repeated(keyed: DataFrame, common: int = COMMON_ANCHOR) -> DataFrame:
 RESULT = "doc_id bigint, doc bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], whole_characters: bool, carried: bool) -> Iterator[pa.RecordBatch]:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     for batch in batches:
         spans, kept, sizes = [], [], []
@@ -360,21 +362,50 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     gone[-1]["stop"] = max(stop, gone[-1]["stop"])
                 else:
                     gone.append({"start": start, "stop": stop})
+            if whole_characters:
+                gone = [g for g in (_within(text, g) for g in gone) if g["start"] < g["stop"]]
             edges = [0, *(x for g in gone for x in (g["start"], g["stop"])), len(text)]
             spans.append(gone)
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             sizes.append(len(text))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())],
-            ["doc_id", "doc", "n_bytes", "spans", "kept"],
+            [batch.column("doc_id"), batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary()), *([batch.column("carried")] if carried else [])],
+            ["doc_id", "doc", "n_bytes", "spans", "kept"] + ["carried"] * carried,
         )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, doc, n_bytes, spans (the removed runs of bytes), kept (the other bytes) of every row."""
-    keyed, single = _keyed(docs, id_col, text_col)
+def _within(text: bytes, span: dict[str, int]) -> dict[str, int]:
+    """The span less the parts of characters at its ends."""
+    start, stop = span["start"], span["stop"]
+    while start < stop and text[start] & 0xC0 == 0x80:
+        start += 1
+    while stop > start and stop < len(text) and text[stop] & 0xC0 == 0x80:
+        stop -= 1
+    return {"start": start, "stop": stop}
+
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, carry: list[str] | None = None
+) -> DataFrame:
+    """doc_id, doc, n_bytes, spans (the removed runs of bytes), kept (the other bytes) of every row.
+
+    whole_characters: a character that is covered in part stays. carry: columns to give with
+    each row, as the struct ``carried``.
+    """
+    keyed, single = _keyed(docs, id_col, text_col, carry or [])
     marks = repeated(single).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
-    return keyed.join(marks.hint("merge"), "doc", "left").select("doc_id", "doc", "bytes", "marks").mapInArrow(_remove, RESULT)
+    met = keyed.join(marks.hint("merge"), "doc", "left")
+    schema = RESULT + (f", carried {keyed.schema['carried'].dataType.simpleString()}" if carry else "")
+    return met.mapInArrow(partial(_remove, whole_characters=whole_characters, carried=bool(carry)), schema)
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with what repeats removed from their texts, whole characters at a time; n_chars follows."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = remove_repeats(docs, whole_characters=True, carry=others)
+    text = F.col("kept").cast("string")
+    own = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("bigint")}
+    return out.select(*[(own[c] if c in own else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
 
 
 def removed_bytes(spans: str = "spans"):

@@ -99,7 +99,7 @@ def test_windows_of_common_anchors_alone(spark):
     rng = random.Random(10)
     rows = list(enumerate(planted(rng)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    keyed, single = suffix_dedup._keyed(df, "doc_id", "text")
+    keyed, single = suffix_dedup._keyed(df, "doc_id", "text", [])
     plain = suffix_dedup.repeated(single).collect()
     apart = suffix_dedup.repeated(single, common=0).collect()
 
@@ -119,3 +119,15 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert by[(1, len(texts[0].encode()))] == 0 and by[(None, 0)] == 0
     assert by[(2, len(texts[70].encode()))] == len(texts[70].encode())
     assert run(spark, [])[:1] == []
+
+
+def test_stage_keeps_columns_and_whole_characters(spark):
+    rng = random.Random(12)
+    rows = [(i, t, f"s{i}", len(t or "")) for i, t in enumerate(planted(rng))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    out = suffix_dedup.drop_repeats(df)
+    assert out.columns == df.columns
+    want = brute([(i, t) for i, t, _, _ in rows])
+    for r in out.collect():
+        assert r.source == f"s{r.doc_id}" and r.n_chars == len(r.text) and "\ufffd" not in r.text
+        assert 0 <= len(r.text.encode()) - len(want[r.doc_id][3]) <= 2 * want[r.doc_id][2]
