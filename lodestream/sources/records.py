@@ -30,8 +30,8 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         files = spark.createDataFrame([], "value string")
-    text = F.trim(F.col("value"))
-    return files.where(text != "").select("value", F.expr("try_parse_json(trim(value))").alias("parsed"))
+    bare = F.regexp_replace("value", r"^\s+|\s+\z", "")
+    return files.select(bare.alias("value")).where("value <> ''").select("value", F.try_parse_json("value").alias("parsed"))
 
 
 def _kind(variant: str) -> Column:
@@ -116,8 +116,14 @@ def dotenv(lines: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def read_dotenv(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    return dotenv(whole.select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("_pos", "value")), prefix)
+    """As :func:`dotenv`. Spark's readers pass over names that begin with a dot, so the one file is opened here."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return dotenv(spark.createDataFrame(list(enumerate(text.splitlines())), "_pos bigint, value string"), prefix)
 
 
 def read_memory(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +133,7 @@ def read_memory(spark: SparkSession, path: str) -> DataFrame:
         "parsed", F.when(_kind("parsed").startswith("OBJECT"), F.col("parsed")).otherwise(F.raise_error(F.lit("not a JSON object")).cast("variant"))
     )
     checked.createOrReplaceTempView("lodestream_memory_file")
-    return spark.sql("SELECT key, value FROM lodestream_memory_file, LATERAL variant_explode(parsed)")
+    return spark.sql("SELECT e.key, e.value FROM lodestream_memory_file, LATERAL variant_explode(parsed) AS e(pos, key, value)")
 
 
 def read_environment(spark: SparkSession, environment: Mapping[str, str] | None = None, prefix: str = "") -> DataFrame:
