@@ -1,14 +1,16 @@
 """BPE encoding and decoding by a table of distinct words.
 
-1. Texts are split into words where they are read, in chunks of about ``CHUNK`` characters. A
-   chunk lists its distinct words once and keeps its texts as numbers of those words.
+1. Texts are split into words where they are read, in chunks of about ``CHUNK`` characters, and
+   each chunk lists its distinct words once.
 2. The words of all chunks meet by hash; each distinct word of the corpus is encoded once.
-3. The words' ids go back to the chunks that asked for them, and a chunk's texts become ids by
-   looking up its numbers, position by position.
+3. The words' ids go back to the chunks that asked for them; there they meet the chunk's texts,
+   which become ids by the number of the word at each position.
 4. Decoding joins ids with the vocabulary's table of pieces, whose size the vocabulary bounds.
 
-What is shuffled is the distinct words of chunks, their ids and the texts' numbers, all as
-compressed blocks; a frequent word crosses once for each chunk, however often it occurs.
+What is shuffled is the distinct words of chunks, their ids and the texts, all as compressed
+blocks; a frequent word crosses once for each chunk, however often it occurs. Each answer says
+which words it is for; should a repeated read deal the rows out otherwise, so that a chunk
+comes to hold other words, the chunk encodes them itself.
 
 Defined results: a null or empty text has no ids; rows that repeat have rows of their own; a
 null id is kept; an empty table gives an empty result; other columns are never read.
@@ -24,10 +26,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
 from .tokens import PIECES, SEPARATORS, Encoder, byte_symbols, encoder
 
-CHUNK = 16 << 20
+CHUNK = 12 << 20
 #: Rows that are decoded together.
 ROWS = 500
 
@@ -48,11 +49,10 @@ class _Split:
     """Numbers the words of texts; the words of a chunk are in ``words``."""
 
     def __init__(self, encoder_: Encoder):
-        self.encoder, self.words, self.chars = encoder_, [], 0
+        self.encoder, self.words = encoder_, []
         self.plain, self.led = _Numbers(self.words), _Numbers(self.words, " ")
 
     def numbers(self, text: str) -> list[int]:
-        self.chars += len(text)
         if not text:
             return []
         kind, plain = self.encoder, self.plain
@@ -97,76 +97,104 @@ def _unpacked(block: bytes) -> list[np.ndarray]:
     return out
 
 
-CODED = "chunk bigint, bucket int, doc_ids array<bigint>, numbers binary, words binary"
-_TYPES = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
+    """(chunk, ids, texts) of the rows of a task."""
+    from pyspark import TaskContext
 
+    chunk, filled, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            filled += len(texts[-1])
+            if filled >= CHUNK:
+                yield chunk, ids, texts
+                chunk, filled, ids, texts = chunk + 1, 0, [], []
+    if ids:
+        yield chunk, ids, texts
 
-def _coded(chunk: int, bucket: int | None, doc_ids: list | None, numbers: bytes, words: bytes | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([v], t) for v, t in zip((chunk, bucket, doc_ids, numbers, words), _TYPES, strict=True)], [c.split()[0] for c in CODED.split(", ")]
-    )
+
+def _joined(texts: list[str]) -> tuple[bytes, bytes]:
+    """Texts as two compressed blocks: their lengths, and the texts."""
+    import zstandard
+
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return _packed(sizes), zstandard.ZstdCompressor(level=3).compress("".join(texts).encode())
+
+
+def _parted(sizes: bytes, block: bytes) -> list[str]:
+    import zstandard
+
+    text, ends = zstandard.ZstdDecompressor().decompress(block).decode(), np.cumsum(_unpacked(sizes)[0]).tolist()
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _dealt(words: list[str], buckets: int) -> Iterator[tuple[int, np.ndarray, list[str], int]]:
+    """(bucket, numbers, words, check) of a chunk's words; check tells what words they are."""
+    import xxhash
+
+    where = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
+    order = np.argsort(where, kind="stable")
+    edges = np.searchsorted(where[order], np.arange(buckets + 1))
+    for bucket in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        numbers = order[edges[bucket] : edges[bucket + 1]]
+        own = [words[k] for k in numbers.tolist()]
+        told = "".join(own) + "\n" + ",".join(map(str, map(len, own)))
+        yield bucket, numbers, own, xxhash.xxh64_intdigest(told) >> 1
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
 
 
-def split_words(docs: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
-    """Chunks: one row of texts as numbers (doc_ids set), and a row of words for each bucket."""
+def chunk_words(docs: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
+    """chunk, bucket, check, sizes, words: the distinct words of each chunk by bucket."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-        import zstandard
-        from pyspark import TaskContext
-
-        kind, squeeze = encoder(vocabulary), zstandard.ZstdCompressor(level=3).compress
-        chunk, cut, ids, coded = TaskContext.get().partitionId() << 32, None, [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            yield _coded(chunk, None, ids, _packed(sizes, np.concatenate(coded)), None)
-            where = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in cut.words), np.int64, len(cut.words))
-            order = np.argsort(where, kind="stable")
-            edges = np.searchsorted(where[order], np.arange(buckets + 1))
-            for bucket in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-                own = order[edges[bucket] : edges[bucket + 1]]
-                words = [cut.words[k] for k in own.tolist()]
-                sizes = np.fromiter(map(len, words), np.int64, len(words))
-                yield _coded(chunk, bucket, None, _packed(own, sizes), squeeze("".join(words).encode()))
+        for chunk, _, texts in _chunks(batches):
+            cut = _Split(encoder(vocabulary))
+            for text in texts:
+                cut.numbers(text)
+            for bucket, _, words, check in _dealt(cut.words, buckets):
+                sizes, block = _joined(words)
+                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "bucket": bucket, "check": check, "sizes": sizes, "words": block}])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                cut = cut or _Split(kind)
-                ids.append(doc_id)
-                coded.append(np.array(cut.numbers(text.as_py() or ""), np.uint32))
-                if cut.chars >= CHUNK:
-                    yield from flush()
-                    chunk, cut, ids, coded = chunk + 1, None, [], []
-        if ids:
-            yield from flush()
+    return _texts(docs).mapInArrow(split, "chunk bigint, bucket bigint, check bigint, sizes binary, words binary")
+
+
+def chunk_texts(docs: DataFrame) -> DataFrame:
+    """chunk, doc_ids, sizes, texts: the same chunks' texts."""
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(split, CODED)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, ids, texts in _chunks(batches):
+            sizes, block = _joined(texts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), pa.array([block], pa.binary())],
+                ["chunk", "doc_ids", "sizes", "texts"],
+            )
+
+    return _texts(docs).mapInArrow(joined, "chunk bigint, doc_ids array<bigint>, sizes binary, texts binary")
 
 
 def encode_words(words: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
-    """chunk, found: each bucket encodes its distinct words once and answers every chunk."""
+    """chunk, bucket, check, found: each bucket encodes its distinct words once and answers every chunk."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        kind, expand, known = encoder(vocabulary), zstandard.ZstdDecompressor().decompress, {}
+        kind, known = encoder(vocabulary), {}
         for batch in batches:
-            for chunk, numbers, block in zip(*(batch.column(c).to_pylist() for c in ("chunk", "numbers", "words")), strict=True):
-                own, sizes = _unpacked(numbers)
-                text, ends = expand(block).decode(), np.cumsum(sizes).tolist()
+            for row in batch.to_pylist():
                 ids = []
-                for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                    word = text[a:b]
+                for word in _parted(row.pop("sizes"), row.pop("words")):
                     if (found := known.get(word)) is None:
                         known[word] = found = kind.encode_piece(word)
                     ids.append(found)
-                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk]), pa.array([_packed(own, counts, np.frombuffer(b"".join(ids), "<u4"))], pa.binary())], ["chunk", "found"]
-                )
+                yield pa.RecordBatch.from_pylist([row | {"found": _packed(*_counted(ids))}])
+
+    return words.repartition(buckets, "bucket").mapInArrow(answer, "chunk bigint, bucket bigint, check bigint, found binary")
 
-    return words.repartition(buckets, "bucket").mapInArrow(answer, "chunk bigint, found binary")
+
+def _counted(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4")
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -175,38 +203,42 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - counts - starts, counts)
 
 
-def _lookup(_: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def _lookup(texts: pa.Table, answers: pa.Table, vocabulary: str, buckets: int) -> pa.Table:
     """Ids of one chunk's texts from the ids of its words."""
-    found = [_unpacked(block) for block in answers.column("found").to_pylist()]
-    words = sum(len(own) for own, _, _ in found)
-    starts, counts, ids, at = np.zeros(words, np.int64), np.zeros(words, np.int64), [], 0
-    for own, own_counts, own_ids in found:
-        counts[own] = own_counts
-        starts[own] = at + np.cumsum(own_counts, dtype=np.int64) - own_counts
-        ids.append(own_ids)
-        at += len(own_ids)
-    ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    out = []
-    for doc_ids, block in zip(texts.column("doc_ids").to_pylist(), texts.column("numbers").to_pylist(), strict=True):
-        sizes, numbers = _unpacked(block)
-        n = counts[numbers]
-        before = np.concatenate([[0], np.cumsum(n)])
-        offsets = before[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
-        values = ids[_spread(starts[numbers], n)].astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-        out.append(pa.table([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "ids"]))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
+    kind, out = encoder(vocabulary), []
+    given = {(r["bucket"], r["check"]): r["found"] for r in answers.select(["bucket", "check", "found"]).to_pylist()}
+    for row in texts.to_pylist():
+        cut = _Split(kind)
+        numbers = [np.array(cut.numbers(t), np.int64) for t in _parted(row["sizes"], row["texts"])]
+        starts, counts, ids, at = np.zeros(len(cut.words), np.int64), np.zeros(len(cut.words), np.int64), [np.empty(0, np.uint32)], 0
+        for bucket, own, words, check in _dealt(cut.words, buckets):
+            block = given.get((bucket, check))
+            own_counts, own_ids = _unpacked(block) if block else _counted([kind.encode_piece(w) for w in words])
+            counts[own] = own_counts
+            starts[own] = at + np.cumsum(own_counts, dtype=np.int64) - own_counts
+            ids.append(own_ids)
+            at += len(own_ids)
+        ids = np.concatenate(ids)
+        place = np.concatenate(numbers)
+        before = np.concatenate([[0], np.cumsum(counts[place])])
+        ends = before[np.concatenate([[0], np.cumsum([len(n) for n in numbers])])]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[_spread(starts[place], counts[place])].astype(np.int32)))
+        out.append(pa.table([pa.array(row["doc_ids"], pa.int64()), lists], names=["doc_id", "ids"]).cast(ENCODED))
+    return pa.concat_tables(out) if out else ENCODED.empty_table()
 
 
 def encode(docs: DataFrame, vocabulary: str, buckets: int | None = None) -> DataFrame:
     """doc_id, ids of every row. buckets: parts of the word table; by default the session's shuffle partitions."""
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = written(split_words(docs, vocabulary, buckets), "chunks")
-    texts = chunks.where("doc_ids is not null").select("chunk", "doc_ids", "numbers")
-    words = chunks.where("doc_ids is null").select("chunk", "bucket", "numbers", "words")
-    answers = encode_words(words, vocabulary, buckets)
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_lookup, "doc_id bigint, ids array<int>")
+    answers = encode_words(chunk_words(docs, vocabulary, buckets), vocabulary, buckets)
+
+    def lookup(texts: pa.Table, found: pa.Table) -> pa.Table:
+        return _lookup(texts, found, vocabulary, buckets)
+
+    return chunk_texts(docs).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lookup, "doc_id bigint, ids array<int>")
 
 
 def piece_table(vocabulary: str) -> list[bytes | None]:

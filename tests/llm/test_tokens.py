@@ -41,6 +41,18 @@ def test_table_of_words_equals_the_library(spark, name, monkeypatch):
     assert bpe_table.encode(df.limit(0), path, buckets=3).count() == 0
 
 
+def test_a_chunk_without_its_answers_encodes_for_itself():
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    sizes, block = bpe_table._joined(["one two", "three two"])
+    texts = pa.Table.from_pylist([{"chunk": 0, "doc_ids": [4, 5], "sizes": sizes, "texts": block}])
+    other = pa.table({"bucket": [0], "check": [1], "found": [bpe_table._packed(np.array([1]), np.array([7]))]})
+    library = Tokenizer.from_file(path)
+    got = bpe_table._lookup(texts, other, path, 1).to_pylist()
+    assert [r["ids"] for r in got] == [library.encode(t).ids for t in ("one two", "three two")]
+
+
 def test_decoding_equals_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
