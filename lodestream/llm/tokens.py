@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-#: Entries that a worker remembers; beyond it starts over, so memory is bounded.
-REMEMBERED = 400_000
+#: Words after which a worker begins a new memory; it still looks into the one before, so what
+#: is met again and again is never encoded anew and memory is bounded.
+REMEMBERED = 600_000
 TAIL = ".,;:!?"
 SEPARATORS = re.compile("[\x1c-\x1f]")
 PIECES = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
@@ -45,16 +46,26 @@ class _Words(dict):
     """Word -> ids as bytes; encodes what it doesn't hold."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.encode(word)
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class Encoder:
     """encode(text) -> ids as bytes."""
 
@@ -80,7 +91,7 @@ class Encoder:
         self.pieces = _Words(self._library)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _as_bytes(self.library.encode(text, add_special_tokens=False).ids)
 
     def _letters(self, word: str, lead: str) -> bytes | None:
         """Ids of a word of common letters only, straight from the model."""
@@ -90,10 +101,10 @@ class Encoder:
         if self.dropped and not text.isalpha():
             return None
         symbols = text.encode().decode("latin-1").translate(self.table)
-        return np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+        return _as_bytes([t.id for t in self.model.tokenize(symbols)])
 
     def _word(self, word: str, lead: str) -> bytes:
-        if not word or any(map(str.isspace, word)):
+        if word.split() != [word]:
             raise _Whole
         core = word.rstrip(TAIL)
         if core and (ids := self._letters(core, lead)) is not None:
