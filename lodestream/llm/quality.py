@@ -27,7 +27,7 @@ WORD_GRAMS = (1, 2)
 CHARACTER_GRAMS = (3, 5)
 #: A text whose calibrated probability of good quality is less goes; a clean text that is lost
 #: counts for more than one junk text that stays.
-LEAST_PROBABILITY = 0.3
+LEAST_PROBABILITY = 0.2
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 REPEAT_WINDOW = 5
