@@ -108,7 +108,8 @@ def pack(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces (as from :func:`pieces`)."""
     cut = written(cut, "pieces")
     groups = max(1, round(cut.count() / group))
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # the row's place in the written table deals out rows that repeat
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")

@@ -97,7 +97,9 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, file
             )
 
     n = max(1, -(-total // file_bytes))
-    ordered = made.repartitionByRange(n, "doc_id", "checksum").sortWithinPartitions("doc_id", "checksum")
+    # the row's place in the written table lets rows that repeat an id fill several files
+    numbered = made.withColumn("nth", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(n, "doc_id", "checksum", "nth").sortWithinPartitions("doc_id", "checksum", "nth")
     return written(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
