@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import collection, eventlog, keyvalue, lines
+from ..operators.registry import FunctionRegistry, choices
 from ..sources import records, sinks
+from ..streaming import streams
+from .scratch import new_path
+from .stores import LogStore, VersionedStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -556,3 +561,109 @@ def ext_asof_purchase(spark, sf_dir):
     earlier = Window.partitionBy("user_id").orderBy(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")).rangeBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))).over(earlier)
     return e.select("event_id", "event_type", last["event_id"].alias("before_id")).where("event_type = 'click'").drop("event_type")
+
+
+# --- files, stores, streams and registered functions
+
+
+LAST = "SELECT row_number() OVER (ORDER BY event_id) - 1 AS _pos, * FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 500)"
+
+
+def _as_file(df: DataFrame, name: str) -> str:
+    """The rows of one text column as a text file in the shared folder."""
+    path = new_path(df.sparkSession, name)
+    df.coalesce(1).write.text(path)
+    return path
+
+
+@query(f"SELECT _pos, event_type AS command, epoch_us(ts) / 1e6 AS timestamp, event_type <> 'error' AS success, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM ({LAST})")
+def scan_log(spark, sf_dir):
+    """The last events written as a JSON array among elements that are no objects, and read again."""
+    rows = log(spark, sf_dir).tail(500).df.withColumn("props", F.from_json("props", "k bigint"))
+    array = sinks.as_json_array(rows).select(F.regexp_replace("value", r"\]\z", ', 7, "text", null]').alias("value"))
+    k = F.expr("try_variant_get(_raw, '$.props.k', 'bigint')")
+    return records.read_log(spark, _as_file(array, "log")).select("_pos", "command", "timestamp", "success", k.alias("k"))
+
+
+@query(f"SELECT _pos, event_type AS command, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) / 1e6 ELSE 12.5 END AS timestamp FROM ({LAST})")
+def scan_import(spark, sf_dir):
+    rows = log(spark, sf_dir).tail(500).df
+    known = F.to_json(F.struct("command", F.when(F.col("_pos") % 2 == 0, F.col("timestamp")).alias("timestamp")))  # null fields are left out
+    array = rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", known.alias("e")))), lambda x: x["e"]), ","), F.lit("]")).alias("value"))
+    return records.read_import(spark, _as_file(array, "import"), now=12.5).select("_pos", "command", "timestamp")
+
+
+@query("SELECT lower(c_name) AS key, c_mktsegment AS value FROM customer")
+def scan_dotenv(spark, sf_dir):
+    """Written lines, each key once more before with another value."""
+    store_ = table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
+    old = sinks.dotenv_lines(store_.withColumn("value", F.lit("old")), "APP_").select(F.lit(0).alias("_pos"), "value")
+    new = sinks.dotenv_lines(store_.withColumn("value", F.concat(F.lit('"'), "value", F.lit('"'))), "APP_", escaped=False).select(F.lit(1).alias("_pos"), "value")
+    return records.dotenv(old.unionByName(new), "APP_")
+
+
+@query("SELECT upper(n_name) AS key, CAST(n_regionkey AS BIGINT) AS value FROM nation")
+def scan_memory(spark, sf_dir):
+    pairs = table(spark, sf_dir, "nation").agg(F.map_from_entries(F.collect_list(F.struct(F.upper("n_name"), "n_regionkey"))).alias("m"))
+    path = _as_file(pairs.select(F.to_json("m").alias("value")), "memory")
+    return records.read_memory(spark, path).select("key", F.expr("variant_get(value, '$', 'bigint')").alias("value"))
+
+
+@query("SELECT concat(upper(n_name), ': \"', n_name, '\"') AS value FROM nation")
+def export_yaml(spark, sf_dir):
+    return sinks.yaml_lines(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key"), F.col("n_name").alias("value")))
+
+
+@query("""SELECT concat('{', string_agg(concat('"', upper(r_name), '":"', r_name, '"'), ',' ORDER BY upper(r_name)), '}') AS value FROM region""")
+def export_json(spark, sf_dir):
+    return sinks.json_object(table(spark, sf_dir, "region").select(F.lower("r_name").alias("key"), F.col("r_name").alias("value")))
+
+
+@query(
+    """WITH two AS (SELECT event_id AS _pos, event_type AS command FROM events
+        UNION ALL SELECT (SELECT max(event_id) FROM events) + 1 + o_orderkey, o_orderpriority FROM orders)
+    SELECT command FROM (SELECT * FROM two ORDER BY _pos DESC LIMIT 1000)"""
+)
+def store_log(spark, sf_dir):
+    """Two batches appended to a store that keeps its last rows."""
+    kept = LogStore(spark, new_path(spark, "log-store"), "_pos bigint, command string")
+    kept.replace(log(spark, sf_dir).df.select("_pos", "command"))
+    kept.append(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_pos"), F.col("o_orderpriority").alias("command")))
+    return kept.read().select("command")
+
+
+@query(f"SELECT coalesce(c.key, s.key) AS key, coalesce(c.value, s.value) AS value FROM ({STORE}) s FULL JOIN ({CHANGES}) c USING (key) WHERE coalesce(c.key, s.key) <> '7'")
+def store_key_values(spark, sf_dir):
+    """A versioned store after a load, an upsert and a delete."""
+    kept = VersionedStore(spark, new_path(spark, "kv-store"), "key string, value string")
+    kept.write(store(spark, sf_dir))
+    kept.change(lambda df: keyvalue.upsert(df, changes(spark, sf_dir)))
+    kept.change(lambda df: keyvalue.delete(df, spark.createDataFrame([("7",)], "key string")))
+    return kept.read()
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_growing_log(spark, sf_dir):
+    """All events through a file stream that takes what is there and stops."""
+    events = table(spark, sf_dir, "events")
+    out = new_path(spark, "stream-out")
+    streams.take_available(streams.growing_log(spark, sf_dir, events.schema, "events.parquet").select("event_id", "event_type"), out, new_path(spark, "stream-state"))
+    return spark.read.parquet(out)
+
+
+@query("SELECT n_nationkey, concat(upper(n_name), '!') AS shouted FROM nation")
+def registered_function(spark, sf_dir):
+    """A vectorized function called by its alias."""
+    names = FunctionRegistry(spark)
+
+    @F.pandas_udf("string")
+    def shout(names_: pd.Series) -> pd.Series:
+        return names_.str.upper() + "!"
+
+    names.register("lodestream_shout", shout, alias="shout_it")
+    return table(spark, sf_dir, "nation").select("n_nationkey", names.call("shout_it", F.col("n_name")).alias("shouted"))
+
+
+@query("SELECT DISTINCT c_mktsegment AS choice FROM customer WHERE starts_with(lower(c_mktsegment), 'b')")
+def completion_choices(spark, sf_dir):
+    return choices(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "choice"), "choice", "B", case_sensitive=False)

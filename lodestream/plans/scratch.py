@@ -1,0 +1,17 @@
+"""Places for files that a query writes for itself."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:  # one machine, as in tests
+        shared = "file://" + tempfile.mkdtemp(prefix="lodestream-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

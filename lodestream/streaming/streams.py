@@ -33,9 +33,9 @@ def watch(spark: SparkSession, every: float, emit: Callable[[DataFrame], None],
     return {"status": "watch-stopped", "ts": time.time()}
 
 
-def growing_log(spark: SparkSession, path: str, schema) -> DataFrame:
-    """New Parquet files of a folder as they come."""
-    return spark.readStream.schema(schema).parquet(path)
+def growing_log(spark: SparkSession, path: str, schema, names: str = "*") -> DataFrame:
+    """New Parquet files of a folder, with such names, as they come."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(path)
 
 
 def take_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
