@@ -16,8 +16,8 @@ ALLOWED_COMMANDS = ["echo", "ls", "cat", "grep"]
 
 
 def contains(text: Column, needle: str | None) -> Column:
-    """Case-sensitive; without a needle everything passes."""
-    return F.coalesce(text, F.lit("")).contains(needle) if needle else F.lit(True)
+    """Case-sensitive; without a needle everything passes. Of a null it is null, so that scans can push it down."""
+    return text.contains(needle) if needle else F.lit(True)
 
 
 def has_prefix(text: Column, prefix: str, case_sensitive: bool = True) -> Column:

@@ -176,6 +176,11 @@ def shown(value: Column, kind: str = "string") -> Column:
     return F.coalesce(text, F.lit("None"))
 
 
+def epoch_micros(ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    seconds = F.unix_date(F.to_date(ts)).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+
+
 def epoch_seconds(ts: str) -> Column:
-    """Seconds since 1970 of a timestamp without zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})") / 1e6
+    return epoch_micros(ts) / 1e6

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import new_path
+
 
 def page(items: DataFrame, offset: int = 0, limit: int = 10, id_col: str = "id") -> DataFrame:
     """``limit`` rows from ``offset`` in order of id, each with the total number of rows."""
@@ -28,20 +30,22 @@ def taken_names(items: DataFrame, names: DataFrame, name_col: str = "name") -> D
     return names.join(items.select(name_col), name_col, "left_semi")
 
 
-def _numbered(rows: DataFrame, order: Column) -> DataFrame:
-    """``nth`` from 0 in the order given: places within range partitions plus the rows before them."""
-    dealt = rows.repartitionByRange(order).withColumn("part", F.spark_partition_id())
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``nth`` from 0 in the order given. The sorted rows are written once, since a second sort might
+    deal them out otherwise; then a row's number is its place in its part plus the parts before."""
+    path = new_path(rows.sparkSession, "numbered")
+    rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    dealt = rows.sparkSession.read.parquet(path).withColumn("part", F.shiftright("at", 33))
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    return dealt.withColumn("in_part", nth).join(before.select("part", "before"), "part").withColumn("nth", F.col("before") + F.col("in_part")).drop("part", "in_part", "before")
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return dealt.join(before, "part").withColumn("nth", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "at", "before")
 
 
 def insert(items: DataFrame, new: DataFrame) -> DataFrame:
     """``items`` and the new (name, description) rows, numbered on in order of name; a name that is
     taken, or twice among the new, is left out."""
     first = new.groupBy("name").agg(F.min("description").alias("description"))
-    fresh = _numbered(first.join(items.select("name"), "name", "left_anti"), F.col("name"))
+    fresh = _numbered(first.join(items.select("name"), "name", "left_anti"), "name")
     last = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     made = fresh.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("nth") + 1).cast("bigint").alias("id"), "name", "description")
     return items.select("id", "name", "description").unionByName(made)

@@ -12,9 +12,9 @@ from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import collection, eventlog, keyvalue, lines
 from ..operators.registry import FunctionRegistry, choices
+from ..scratch import new_path
 from ..sources import records, sinks
 from ..streaming import streams
-from .scratch import new_path
 from .stores import LogStore, VersionedStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -558,7 +558,7 @@ def ext_hourly_counts(spark, sf_dir):
 def ext_asof_purchase(spark, sf_dir):
     """For each click the user's last purchase before it: one window over the user's events, no join."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
-    earlier = Window.partitionBy("user_id").orderBy(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")).rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("user_id").orderBy(T.epoch_micros("ts")).rangeBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))).over(earlier)
     return e.select("event_id", "event_type", last["event_id"].alias("before_id")).where("event_type = 'click'").drop("event_type")
 
