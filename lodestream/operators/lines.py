@@ -21,17 +21,17 @@ def segments(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 def tree_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All paths from the roots down a tree of (parent, child): path, depth, leaf name."""
-    edges.createOrReplaceTempView("lodestream_tree_edges")
-    roots.createOrReplaceTempView("lodestream_tree_roots")
     return edges.sparkSession.sql(
         """
         WITH RECURSIVE walk(name, path, depth) AS (
-            SELECT name, name, 0 FROM lodestream_tree_roots
+            SELECT name, name, 0 FROM {roots}
             UNION ALL
             SELECT e.child, concat(w.path, ' ', e.child), w.depth + 1
-            FROM walk w JOIN lodestream_tree_edges e ON e.parent = w.name
+            FROM walk w JOIN {edges} e ON e.parent = w.name
         )
-        SELECT name, path, depth FROM walk"""
+        SELECT name, path, depth FROM walk""",
+        edges=edges,
+        roots=roots,
     )
 
 

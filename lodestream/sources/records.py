@@ -132,8 +132,7 @@ def read_memory(spark: SparkSession, path: str) -> DataFrame:
     checked = whole.withColumn(
         "parsed", F.when(_kind("parsed").startswith("OBJECT"), F.col("parsed")).otherwise(F.raise_error(F.lit("not a JSON object")).cast("variant"))
     )
-    checked.createOrReplaceTempView("lodestream_memory_file")
-    return spark.sql("SELECT e.key, e.value FROM lodestream_memory_file, LATERAL variant_explode(parsed) AS e(pos, key, value)")
+    return spark.sql("SELECT e.key, e.value FROM {file}, LATERAL variant_explode(parsed) AS e(pos, key, value)", file=checked)
 
 
 def read_environment(spark: SparkSession, environment: Mapping[str, str] | None = None, prefix: str = "") -> DataFrame:
