@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import forget
+
 #: Labelled rows that training uses at most.
 SAMPLE = 1500
 BUCKETS = 1 << 18
@@ -32,7 +34,7 @@ LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 REPEAT_WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _WHITE = np.zeros(128, bool)
@@ -267,6 +269,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """The measures and the verdict of every row."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             at = 0
             for texts in _blocks(t.as_py() or "" for t in batch.column("text")):
@@ -283,6 +286,7 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
 
     def judge(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in texts:
             kept = [k for some in _blocks(t.as_py() or "" for t in batch.column("text").cast(pa.string())) for k in _judged(Block(some), model)[2].tolist()]
             yield batch.filter(pa.array(kept, pa.bool_()))

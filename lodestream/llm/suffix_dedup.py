@@ -34,15 +34,16 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .suffixes import later_copies
+from .tokens import forget
 
 MATCH = 100
 ANCHOR = 32
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Windows in a run at most, so that runs of one character stay short strings.
 LONGEST_RUN = 256
 #: Distinct runs of an anchor from which they are dealt out window by window.
 COMMON_ANCHOR = 4096
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 RUN, MARK, SHARED, COMMON, REPEATING = 0, 1, 2, 3, 4
 
@@ -196,6 +197,7 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     found: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         found += _runs_of(_column(batch, "doc").tolist(), batch.column("bytes").to_pylist())
@@ -291,6 +293,7 @@ def _marks(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pa.Record
 
 def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One shard: the suffix array of its pieces in order of document and place."""
+    forget()
     found, pieces = [], []
     for batch in batches:
         given = pa.compute.is_valid(batch.column("piece"))

@@ -141,3 +141,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The encoder of a vocabulary file, one for each Python worker."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Free what this worker remembers of words; for work of another kind that needs the memory."""
+    encoder.cache_clear()
