@@ -93,22 +93,21 @@ class Encoder:
     def _library(self, text: str) -> bytes:
         return _as_bytes(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _letters(self, word: str, lead: str) -> bytes | None:
-        """Ids of a word of common letters only, straight from the model."""
-        if not (word.isascii() or max(word) < "ɐ") or not word.isalpha():
-            return None
-        text = word.lower() if self.dropped else lead + word
-        if self.dropped and not text.isalpha():
-            return None
-        symbols = text.encode().decode("latin-1").translate(self.table)
+    def _letters(self, word: str, lead: str) -> bytes:
+        """Ids of a word of common letters, straight from the model."""
+        symbols = (lead + word).encode().decode("latin-1").translate(self.table)
         return _as_bytes([t.id for t in self.model.tokenize(symbols)])
 
     def _word(self, word: str, lead: str) -> bytes:
         if word.split() != [word]:
             raise _Whole
         core = word.rstrip(TAIL)
-        if core and (ids := self._letters(core, lead)) is not None:
-            return ids if core == word else ids + self.bare[word[len(core) :]]
+        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            small = core.lower() if self.dropped else core
+            if small == word:
+                return self._letters(word, lead)
+            if small.isalpha():  # letters and signs are encoded apart, and so the word may be known
+                return (self.led if lead else self.bare)[small] + (self.bare[word[len(core) :]] if core != word else b"")
         return self._library(lead + word)
 
     def encode_piece(self, piece: str) -> bytes:
