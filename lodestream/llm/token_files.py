@@ -1,7 +1,8 @@
 """Token-id files of independent zstandard frames with a trailing seek table.
 
 A file is a row of frames, one per document, in ascending id order, then a skippable frame
-with the documents' ids and the seek table of the public zstandard seekable format: for each
+with the documents' ids and the bytes of a token id (two where the vocabulary allows, else
+four), and the seek table of the public zstandard seekable format: for each
 frame its compressed size, its size and the low 32 bits of the XXH64 of its content. A reader
 takes the table from the end of the file and decompresses only the frames it wants; every
 frame is checked against its checksum.
@@ -37,6 +38,10 @@ NO_ID = -(1 << 63)
 MANIFEST = "file string, place int, documents bigint, tokens bigint"
 
 
+def id_bytes(vocabulary: str) -> int:
+    return 2 if encoder(vocabulary).library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
 def frames(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id, frame (its compressed ids), n_tokens, checksum."""
 
@@ -44,14 +49,15 @@ def frames(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         import xxhash
         import zstandard
 
-        end = np.array([end_id], "<u4").tobytes()
+        end, width = np.array([end_id], "<u4").tobytes(), id_bytes(vocabulary)
         encode, squeeze = encoder(vocabulary).encode, zstandard.ZstdCompressor(level=LEVEL, write_checksum=True).compress
         for batch in batches:
             made, sizes, sums = [], [], []
             for text in batch.column(1):
                 ids = encode(text.as_py()) + end
-                made.append(squeeze(ids))
                 sizes.append(len(ids) // 4)
+                ids = np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+                made.append(squeeze(ids))
                 sums.append(xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(made, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())],
@@ -72,7 +78,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, file
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        place, ids, table, tokens, out = task.partitionId(), [], [], 0, None
+        place, ids, table, tokens, out, width = task.partitionId(), [], [], 0, None, id_bytes(vocabulary)
         for batch in batches:
             for doc_id, frame, n, checksum in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if out is None:
@@ -82,11 +88,11 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, file
                     out = store.open_output_stream(f"{at}/{name}", compression=None)
                 out.write(frame)
                 ids.append(NO_ID if doc_id is None else doc_id)
-                table.append((len(frame), 4 * n, checksum))
+                table.append((len(frame), width * n, checksum))
                 tokens += n
         if out is not None:
             listed = np.array(ids, "<i8").tobytes()
-            out.write(struct.pack("<II", SKIPPABLE_IDS, len(listed)) + listed)
+            out.write(struct.pack("<III", SKIPPABLE_IDS, 4 + len(listed), width) + listed)
             entries = np.array(table, "<u4").tobytes()
             tail = struct.pack("<IBI", len(table), 0x80, SEEKABLE)
             out.write(struct.pack("<II", SKIPPABLE_SEEK, len(entries) + len(tail)) + entries + tail)
@@ -103,19 +109,19 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, file
     return written(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
-def open_table(stored) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets of the frames, seek table rows) of an open file."""
+def open_table(stored) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(ids, offsets of the frames, seek table rows, bytes of a token id) of an open file."""
     end = stored.size()
     stored.seek(end - 9)
     n, descriptor, magic = struct.unpack("<IBI", stored.read(9))
     if magic != SEEKABLE or not descriptor & 0x80:
         raise ValueError("not a seekable file with checksums")
-    stored.seek(end - 9 - 12 * n - 8 - 8 * n)
-    raw = stored.read(8 * n + 8 + 12 * n)
-    table = np.frombuffer(raw, "<u4", 3 * n, 8 * n + 8).reshape(n, 3)
+    stored.seek(end - 9 - 12 * n - 8 - 8 * n - 4)
+    raw = stored.read(4 + 8 * n + 8 + 12 * n)
+    table = np.frombuffer(raw, "<u4", 3 * n, 8 * n + 12).reshape(n, 3)
     starts = np.zeros(n, np.int64)
     np.cumsum(table[:-1, 0], out=starts[1:])
-    return np.frombuffer(raw, "<i8", n), starts, table
+    return np.frombuffer(raw, "<i8", n, 4), starts, table, struct.unpack("<I", raw[:4])[0]
 
 
 def read_files(manifest: DataFrame, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -135,8 +141,8 @@ def read_files(manifest: DataFrame, folder: str, doc_ids: list[int] | None = Non
         for batch in batches:
             for file, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 with store.open_input_file(f"{at}/{file}") as stored:
-                    ids, offsets, table = open_table(stored)
-                    first = before + np.concatenate([[0], np.cumsum(table[:, 1].astype(np.int64) // 4)])
+                    ids, offsets, table, width = open_table(stored)
+                    first = before + np.concatenate([[0], np.cumsum(table[:, 1].astype(np.int64) // width)])
                     picked = np.arange(len(ids)) if wanted is None else np.flatnonzero(np.isin(ids, wanted))
                     for some in np.array_split(picked, -(-len(picked) // 2000)) if len(picked) else []:
                         texts = []
@@ -145,7 +151,7 @@ def read_files(manifest: DataFrame, folder: str, doc_ids: list[int] | None = Non
                             content = expand(stored.read(int(table[k, 0])))
                             if xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != table[k, 2]:
                                 raise ValueError(f"checksum of document {ids[k]} in {file} does not hold")
-                            texts.append(content)
+                            texts.append(np.frombuffer(content, f"<u{width}").astype("<u4").tobytes())
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(ids[some], mask=ids[some] == NO_ID), pa.array(first[some]), pa.array(texts, pa.binary())],
                             ["doc_id", "start", "ids"],
