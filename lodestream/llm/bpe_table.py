@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .tokens import PIECES, SEPARATORS, Encoder, byte_symbols, encoder
 
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 #: Rows that are decoded together.
 ROWS = 500
 
