@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .tokens import forget
 
 #: Labelled rows that training uses at most.
-SAMPLE = 1500
+SAMPLE = 1000
 BUCKETS = 1 << 18
 WORD_GRAMS = (1, 2)
 CHARACTER_GRAMS = (3, 5)
@@ -181,9 +181,10 @@ class Model:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 150, rate: float = 3.0, decay: float = 1e-5) -> Model:
     """Logistic regression by adaptive gradient steps on sparse rows, classes weighted alike."""
-    index = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    value = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    index, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    met = np.bincount(index, minlength=BUCKETS)[index] > 1  # what one row alone has tells nothing of others
+    index, value, row = index[met], value[met], row[met]
     share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     weights, bias, seen, seen_bias = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(steps):
