@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 ESC = "\x1b"
+CONTROLS = {c: None for c in (*range(0x20), 0x7F)}
 
 
 @F.pandas_udf(StringType())
@@ -26,7 +27,7 @@ def ascii_clean(texts: pd.Series) -> pd.Series:
     def clean(text: str | None) -> str | None:
         if text is None or (text.isascii() and text.isprintable()):
             return text
-        return "".join(c for c in unicodedata.normalize("NFKD", text) if " " <= c <= "~")
+        return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii").translate(CONTROLS)
 
     return texts.map(clean, na_action="ignore")
 
