@@ -1,13 +1,14 @@
 """Quality rules: base measures of each text and a calibrated logistic regression.
 
 The classifier sees hashed word n-grams and character n-grams. It is trained here on a bounded
-sample of labelled rows, calibrated on a part of the sample that it was not trained on, and
-scores Arrow batches against a fixed threshold. Everything else covers whole texts of all rows.
-
-Defined results: a null or empty text has no words, so it fails the base rules; without labels
-of both classes only the base rules decide; rows that repeat are judged alike; labels that
-contradict each other for one id are left out of training; an empty table gives an empty
-result; other columns are never read.
+sample of labelled rows, half of it for each class, calibrated on scores of rows that the
+scoring model was not trained on, and scores Arrow batches against a fixed threshold. Everything
+else covers whole texts of all rows.
+
+Defined results: a null or empty text has no words, so it fails the base rules; only where no
+row of ``docs`` has a label of the one class or the other do the base rules decide alone; rows
+that repeat are judged alike; labels that contradict each other for one id are left out of
+training; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 
 from .tokens import forget
 
-#: Labelled rows that training uses at most.
+#: Labelled rows that training uses at most, half of them of each class.
 SAMPLE = 1000
+#: With fewer rows of a class, all rows train the model and calibration goes by cross-fitting.
+FEW = 100
+FOLDS = 4
 BUCKETS = 1 << 18
 WORD_GRAMS = (1, 2)
 CHARACTER_GRAMS = (3, 5)
@@ -201,23 +205,66 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: in
 def calibrate(model: Model, raw: np.ndarray, labels: np.ndarray) -> None:
     """Slope and shift of the logistic curve from scores of rows that training hasn't seen."""
     target = np.where(labels == 1, ((labels == 1).sum() + 1) / ((labels == 1).sum() + 2), 1 / ((labels == 0).sum() + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * raw + b
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-4 * (a * a + b * b))
+
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
-        g = np.array([((p - target) * raw).sum(), (p - target).sum()])
+        g = np.array([((p - target) * raw).sum() + 1e-3 * a, (p - target).sum() + 1e-3 * b])
         w = np.maximum(p * (1 - p), 1e-6)
         h = np.array([[(w * raw * raw).sum() + 1e-3, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        step, now = np.linalg.solve(h, g), loss(a, b)
+        while np.abs(step).max() >= 1e-6 and loss(a - step[0], b - step[1]) > now:  # a whole step may lead away
+            step /= 2
         if np.abs(step).max() < 1e-6:
             break
+        a, b = a - step[0], b - step[1]
     model.slope, model.shift = float(a), float(b)
 
 
+def _fitted(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
+    """A calibrated model from rows of both classes."""
+
+    def fit_where(chosen: np.ndarray) -> Model:
+        return fit([r for r, c in zip(rows, chosen, strict=True) if c], y[chosen])
+
+    def raw_where(model: Model, chosen: np.ndarray) -> np.ndarray:
+        return np.array([model.weights[b] @ a + model.bias for (b, a), c in zip(rows, chosen, strict=True) if c])
+
+    # the folds are dealt within each class, so that each has rows of both
+    fold = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        fold[y == label] = np.arange((y == label).sum()) % FOLDS
+    if np.bincount(y).min() >= FEW:
+        held = fold == FOLDS - 1
+        model = fit_where(~held)
+        calibrate(model, raw_where(model, held), y[held])
+        return model
+    model, raw = fit_where(np.ones(len(y), bool)), np.zeros(len(y))
+    for k in range(FOLDS):
+        held = fold == k
+        # the only row of a class stays in training, as nothing could be learnt without it
+        stays = ~held | np.isin(y, [label for label in (0, 1) if (y == label).sum() == 1])
+        if held.any():
+            raw[held] = raw_where(fit_where(stays), held)
+    calibrate(model, raw, y)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A calibrated model from at most ``sample`` labelled rows; None without both classes."""
+    """A calibrated model from at most ``sample`` labelled rows of ``docs``, half of them of each class by hash.
+
+    None, so that only the base rules decide, where the labels of ``docs``' rows are all of one class or there are none.
+    """
     agreed = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other"))
-    picked = agreed.where("label = other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("labelled"), "label")
+    there = agreed.where("label = other").join(docs.select(F.col("doc_id").cast("bigint")).distinct(), "doc_id", "left_semi")
+    halves = [
+        there.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2).select(F.col("doc_id").alias("labelled"), "label") for k in (0, 1)
+    ]
+    picked = halves[0].unionByName(halves[1])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,14 +281,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     found = texts.mapInArrow(featured, "doc_id bigint, label int, buckets binary, amounts binary").toPandas()
     found = found.drop_duplicates("doc_id").sort_values("doc_id")
     y = found["label"].to_numpy()
-    if len({*y.tolist()}) < 2 or min(np.bincount(y)) < 8:
+    if len({*y.tolist()}) < 2:
         return None
     rows = [(np.frombuffer(b, np.int32), np.frombuffer(a, np.float32)) for b, a in zip(found["buckets"], found["amounts"], strict=True)]
-    held = np.arange(len(rows)) % 4 == 3
-    model = fit([r for r, h in zip(rows, held, strict=True) if not h], y[~held])
-    raw = np.array([model.weights[b] @ a + model.bias for (b, a), h in zip(rows, held, strict=True) if h])
-    calibrate(model, raw, y[held])
-    return model
+    return _fitted(rows, y)
 
 
 SCORED = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, probability double"

@@ -147,3 +147,41 @@ def test_without_both_classes_only_the_base_rules_decide(spark):
     model = quality.train(docs, labels)
     assert model is None
     assert [r.doc_id for r in quality.keep_good(docs, model).collect()] == [2]
+
+
+def labelled(good, junk, missing=0):
+    """Rows (doc_id, text, quality) of two kinds of prose, and labels of ids that have no document."""
+    rng = random.Random(7)
+    plain, odd = [f"plain{k}" for k in range(300)], [f"junk{k}" for k in range(30)]
+    rows = [(k, " ".join(rng.sample(plain, 40)), 1) for k in range(good)]
+    rows += [(good + k, " ".join(rng.sample(plain, 15) + rng.sample(odd, 25)), 0) for k in range(junk)]
+    return rows, [(10**6 + k, 1) for k in range(missing)]
+
+
+def judged(spark, rows, absent, **options):
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + absent, "doc_id bigint, quality int")
+    model = quality.train(docs, labels, **options)
+    assert model is not None
+    kept = {r.doc_id for r in quality.keep_good(docs, model).collect()}
+    return [sum(r[0] in kept for r in rows if r[2] == k) / sum(r[2] == k for r in rows) for k in (0, 1)]
+
+
+def test_few_labels_of_a_class_train_the_classifier(spark):
+    for junk in (2, 7):
+        lost, kept = judged(spark, *labelled(80, junk))
+        assert kept == 1 and lost < 0.5, junk
+
+
+def test_the_sample_has_both_classes_whatever_their_shares(spark):
+    # 20 junk rows in 4000 and labels without documents: a sample of 200 by hash alone has one junk row or so
+    lost, kept = judged(spark, *labelled(3980, 20, missing=4000), sample=200)
+    assert kept >= 0.99 and lost <= 0.1
+
+
+def test_calibration_of_few_held_scores_does_not_diverge():
+    model = quality.Model(np.zeros(quality.BUCKETS, np.float32), 0.0)
+    raw = np.array([9.0, 8.0, 9.5, 7.0, 8.5, 9.1, -1.0, 8.8, 2.0])
+    quality.calibrate(model, raw, np.array([1, 1, 1, 1, 1, 1, 0, 1, 0]))
+    chance = 1 / (1 + np.exp(-(model.slope * raw + model.shift)))
+    assert 0 < model.slope < 10 and chance[[0, 1, 2, 3, 4, 5, 7]].min() > 0.5 > chance[[6, 8]].max()
