@@ -3,9 +3,9 @@
 The standard library's parser streams over a page; every block-level tag ends a line. A line's
 ratio is its characters over its tags. The ratios are smoothed with a Gaussian kernel and
 those above a threshold (a share of their standard deviation) cluster as content. The smallest
-region of the page that holds that content is the article; all its lines are given, short ones
-too, but not what stands in menus, notices, forms and other parts that are known not to be
-text.
+regions of the page that hold all of that content are the article; all their lines are given,
+short ones too, but not what stands in menus, notices, forms and other parts that are known not
+to be text.
 
 Defined results: null or empty html, or a page without text, gives the empty text; white space
 is what Python's str.split() splits at; rows that repeat are extracted alike; an empty table
@@ -15,6 +15,7 @@ gives an empty result; other columns are never read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 
 SMOOTHING = 1.0
 THRESHOLD = 0.5
-#: Share of the content that the smallest region must hold.
-ARTICLE_SHARE, REGION_SHARE = 0.5, 0.9
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
@@ -36,6 +35,8 @@ REGIONS = {"article", "main", "section", "div", "body"}
 DROPPED = set(
     "head title script style noscript template iframe object svg math canvas video audio map nav footer aside form button select option textarea fieldset dialog menu".split()
 )
+#: Tags that may stand in a head; any other one ends it, as its end tag is optional.
+HEAD = set("html head title base basefont bgsound link meta script style noscript noframes template".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of class, id or role that name a part without main text.
 PARTS = set(
@@ -68,7 +69,12 @@ class _Lines(HTMLParser):
     def _dropped(self) -> bool:
         return any(d for _, _, d, _ in self.open)
 
+    def _in_head(self) -> bool:
+        return bool(self.open) and self.open[-1][0] == "head"
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body" or tag not in HEAD and self._in_head():
+            self._close("head")
         if tag not in INLINE:
             self._end_line()
         elif tag == "br":
@@ -114,6 +120,8 @@ class _Lines(HTMLParser):
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
+        if self._in_head() and data.strip():
+            self._close("head")
         if self._dropped():
             return
         if any(h for _, _, _, h in self.open) and not any(t in HEADINGS for t, _, _, _ in self.open):
@@ -144,18 +152,17 @@ def main_text(html: str | None) -> str:
     sizes = np.array([len(text) for text, _, _ in parser.lines])
     smooth = _smoothed(sizes / np.array([max(1, tags) for _, tags, _ in parser.lines]))
     content = smooth >= THRESHOLD * smooth.std()
-    held = np.zeros(len(parser.region_tags) + 1)
-    for size, chosen, (_, _, regions) in zip(sizes, content, parser.lines, strict=True):
-        if chosen:
-            held[list(regions)] += size
-    total = sizes[content].sum()
+    around = [set(regions) for (_, _, regions), chosen in zip(parser.lines, content, strict=True) if chosen]
     tags = parser.region_tags
-    named = [r for r, tag in enumerate(tags) if tag in ("article", "main") and held[r] >= ARTICLE_SHARE * total]
-    # of named regions the innermost article; else the last opened one that still holds nearly all
-    articles = [r for r in named if tags[r] == "article"]
-    whole = [r for r in range(len(tags)) if held[r] >= REGION_SHARE * total]
-    region = articles[-1] if articles else named[-1] if named else whole[-1] if whole else -1
-    return "\n".join(text for text, _, regions in parser.lines if region < 0 or region in regions)
+    held = Counter(r for regions in around for r in regions)
+    # the articles with content; what they leave out is in main parts or else in the last opened region that holds all
+    named = {r for r in held if tags[r] == "article"}
+    if not all(named & regions for regions in around):
+        left_out = set().union(*(regions for regions in around if not named & regions))
+        named |= {r for r in left_out if tags[r] == "main"}
+    if not all(named & regions for regions in around):
+        named = {max((r for r in held if held[r] == len(around)), default=-1)}
+    return "\n".join(text for text, _, regions in parser.lines if -1 in named or not named.isdisjoint(regions))
 
 
 RESULT = "page_id bigint, url string, text string"

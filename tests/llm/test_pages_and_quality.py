@@ -185,3 +185,34 @@ def test_calibration_of_few_held_scores_does_not_diverge():
     quality.calibrate(model, raw, np.array([1, 1, 1, 1, 1, 1, 0, 1, 0]))
     chance = 1 / (1 + np.exp(-(model.slope * raw + model.shift)))
     assert 0 < model.slope < 10 and chance[[0, 1, 2, 3, 4, 5, 7]].min() > 0.5 > chance[[6, 8]].max()
+
+
+LONG = "This line has so many words that it clusters as content of the page, number {}."
+
+
+def paragraphs(*numbers):
+    return "".join(f"<p>{LONG.format(k)}</p>" for k in numbers)
+
+
+def test_a_text_in_two_articles_stays_whole():
+    for first, second in ((3, 3), (1, 5), (5, 1)):
+        page = f"<body><div><article>{paragraphs(*range(first))}</article><div class=ad>Buy</div><article>{paragraphs(*range(first, first + second))}</article></div></body>"
+        assert html_extract.main_text(page).split("\n") == [LONG.format(k) for k in range(first + second)]
+
+
+def test_content_around_an_article_stays():
+    for tag in ("main", "div"):
+        page = f"<body><p>x</p><{tag}><h1>Title of it</h1>{paragraphs(0, 1)}<article>{paragraphs(2, 3, 4)}</article></{tag}></body>"
+        assert html_extract.main_text(page).split("\n")[-6:] == ["Title of it", *[LONG.format(k) for k in range(5)]]
+    # a tenth of the content outside the region that holds the rest
+    page = f"<body>{paragraphs(0)}<section>{paragraphs(*range(1, 20))}</section></body>"
+    assert html_extract.main_text(page).split("\n") == [LONG.format(k) for k in range(20)]
+
+
+def test_a_head_without_end_tag():
+    head = "<html><head><meta charset=utf-8><title>T</title><style>p{}</style><noscript><p>no</p></noscript>"
+    want = [LONG.format(k) for k in range(2)]
+    for start in ("<body>", "<main>", ""):
+        assert html_extract.main_text(head + start + paragraphs(0, 1)).split("\n") == want, start
+    assert html_extract.main_text(head + LONG.format(0)) == LONG.format(0)
+    assert html_extract.main_text("<head><title>T</title><script>x</script></head>") == ""
