@@ -593,6 +593,22 @@ def scan_import(spark, sf_dir):
     return records.read_import(spark, _as_file(array, "import"), now=12.5).select("_pos", "command", "timestamp")
 
 
+#: Events in one file of a whole import.
+CHUNK = 1000
+
+
+@query("SELECT event_id, event_type AS command, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) / 1e6 ELSE 12.5 END AS timestamp FROM events")
+def scan_import_all(spark, sf_dir):
+    """All events as JSON arrays of at most ``CHUNK`` consecutive ids each, read again as one import."""
+    rows = log(spark, sf_dir).df.select(F.col("_pos").alias("event_id"), "command", F.when(F.col("_pos") % 2 == 0, F.col("timestamp")).alias("timestamp"))
+    entry = F.struct("event_id", F.to_json(F.struct("event_id", "command", "timestamp")).alias("e"))
+    listed = rows.groupBy(F.floor(F.col("event_id") / CHUNK)).agg(F.array_sort(F.collect_list(entry)).alias("es"))
+    arrays = listed.select(F.concat(F.lit("["), F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("]")).alias("value"))
+    path = new_path(spark, "imports")
+    arrays.write.option("maxRecordsPerFile", 1).text(path)  # a file is one array
+    return records.read_import(spark, path, now=12.5).select(F.expr("try_variant_get(_raw, '$.event_id', 'bigint')").alias("event_id"), "command", "timestamp")
+
+
 @query("SELECT lower(c_name) AS key, c_mktsegment AS value FROM customer")
 def scan_dotenv(spark, sf_dir):
     """Written lines, each key once more before with another value."""

@@ -17,3 +17,14 @@ def test_entry_imports_and_runs(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_the_whole_import_is_many_bounded_files(spark, monkeypatch):
+    import glob
+
+    made = []
+    monkeypatch.setattr(Q, "new_path", lambda spark, name, real=Q.new_path: made.append(real(spark, name)) or made[-1])
+    events = Q.table(spark, SF, "events")
+    assert Q.QUERIES["scan_import_all"](spark, SF).count() == events.count()
+    files = glob.glob(made[0].removeprefix("file:").replace("//", "/") + "/part-*.txt")
+    assert len(files) == events.selectExpr("event_id div 1000").distinct().count()
