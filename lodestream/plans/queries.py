@@ -428,7 +428,7 @@ def fn_edit_distance(spark, sf_dir):
     FROM nation, LATERAL (SELECT r_name AS name, levenshtein(n_name, r_name) AS distance FROM region ORDER BY 2, 1 LIMIT 1) m"""
 )
 def nearest_command(spark, sf_dir):
-    known = [r.r_name for r in table(spark, sf_dir, "region").limit(100).collect()]
+    known = [r.r_name for r in table(spark, sf_dir, "region").collect()]  # a table of fixed size
     return table(spark, sf_dir, "nation").select("n_nationkey", lines.nearest_name(F.col("n_name"), known).alias("hint"))
 
 
