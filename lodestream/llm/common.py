@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A-Z as a-z, in bytes.
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Paths that this driver has given out.
 _made: list[str] = []
 
@@ -17,10 +19,13 @@ _made: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is taken.
+    Only a local master that names none (tests on one machine) gets a temporary folder; on a
+    cluster a missing setting is an error, as no machine's own folder would do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         named = "file://" + tempfile.mkdtemp(prefix="lodestream-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -43,11 +48,13 @@ def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
     """On leaving, deletes what was written to the shared folder meanwhile, but for paths that hold
     one of the names. Only for code that has written its result by then."""
     before = len(_made)
-    yield
-    for path in _made[before:]:
-        if not any(f"/{name}-" in path for name in keep):
-            delete(spark, path)
-    del _made[before:]
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            if not any(f"/{name}-" in path for name in keep):
+                delete(spark, path)
+        del _made[before:]
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -64,6 +71,12 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` as a written table; the tables that it has written for itself go."""
+    with scratch(spark, name):
+        return written(make(), name)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text as a string that is never null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

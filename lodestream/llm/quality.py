@@ -8,7 +8,8 @@ else covers whole texts of all rows.
 Defined results: a null or empty text has no words, so it fails the base rules; only where no
 row of ``docs`` has a label of the one class or the other do the base rules decide alone; rows
 that repeat are judged alike; labels that contradict each other for one id are left out of
-training; an empty table gives an empty result; other columns are never read.
+training; an id that repeats among the documents trains with one of its texts; an empty table
+gives an empty result; other columns are never read, and may have any names.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import whole_text, written
 from .tokens import forget
 
 #: Labelled rows that training uses at most, half of them of each class.
 SAMPLE = 1000
+#: Bytes of text that training uses at most, half of them of each class.
+SAMPLE_BYTES = 16 << 20
+#: Rows that a training step takes at once.
+TOGETHER = 64
 #: With fewer rows of a class, all rows train the model and calibration goes by cross-fitting.
 FEW = 100
 FOLDS = 4
@@ -184,21 +190,28 @@ class Model:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 150, rate: float = 3.0, decay: float = 1e-5) -> Model:
-    """Logistic regression by adaptive gradient steps on sparse rows, classes weighted alike."""
-    index, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-    met = np.bincount(index, minlength=BUCKETS)[index] > 1  # what one row alone has tells nothing of others
-    index, value, row = index[met], value[met], row[met]
+    """Logistic regression by adaptive gradient steps on sparse rows, classes weighted alike.
+
+    Rows are taken ``TOGETHER`` at a time within a step, so that its arrays stay small.
+    """
+    some = [rows[k : k + TOGETHER] for k in range(0, len(rows), TOGETHER)]
+    index = [np.concatenate([r[0] for r in part]) for part in some]
+    value = [np.concatenate([r[1] for r in part]) for part in some]
+    row = [np.repeat(np.arange(len(part), dtype=np.int32), [len(r[0]) for r in part]) for part in some]
     share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     weights, bias, seen, seen_bias = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(steps):
-        z = np.bincount(row, value * weights[index], len(rows)) + bias
-        error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        slope = np.bincount(index, value * error[row], BUCKETS) + decay * weights
+        slope, slope_bias = decay * weights, 0.0
+        for k, (i, v, r) in enumerate(zip(index, value, row, strict=True)):
+            at = slice(k * TOGETHER, k * TOGETHER + len(some[k]))
+            z = np.bincount(r, v * weights[i], len(some[k])) + bias
+            error = share[at] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[at])
+            slope += np.bincount(i, v * error[r], BUCKETS)
+            slope_bias += error.sum()
         seen += slope**2
-        seen_bias += error.sum() ** 2
+        seen_bias += slope_bias**2
         weights -= rate * slope / np.sqrt(seen)
-        bias -= 0.1 * error.sum() / np.sqrt(seen_bias)
+        bias -= 0.1 * slope_bias / np.sqrt(seen_bias)
     return Model(weights.astype(np.float32), bias)
 
 
@@ -254,37 +267,44 @@ def _fitted(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A calibrated model from at most ``sample`` labelled rows of ``docs``, half of them of each class by hash.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """A calibrated model from at most ``sample`` labelled rows of ``docs``, half of them of each class by
+    hash, as long as the texts of a class have no more than half of ``sample_bytes``; the first of each
+    class always counts.
 
     None, so that only the base rules decide, where the labels of ``docs``' rows are all of one class or there are none.
     """
-    agreed = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other"))
-    there = agreed.where("label = other").join(docs.select(F.col("doc_id").cast("bigint")).distinct(), "doc_id", "left_semi")
-    halves = [
-        there.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2).select(F.col("doc_id").alias("labelled"), "label") for k in (0, 1)
-    ]
-    picked = halves[0].unionByName(halves[1])
+    told = labels.select(F.col("doc_id").cast("bigint").alias("labelled"), F.col("quality").cast("int").alias("told"))
+    agreed = told.where("told is not null and labelled is not null").groupBy("labelled").agg(F.min("told").alias("class"), F.max("told").alias("other"))
+    known = docs.select(F.col("doc_id").cast("bigint").alias("labelled")).distinct()
+    there = agreed.where("class = other").join(known, "labelled", "left_semi")
+    halves = [there.where(F.col("class") == k).orderBy(F.xxhash64("labelled"), "labelled").limit(sample // 2).select("labelled", "class") for k in (0, 1)]
+    # at most ``sample`` rows, so it may be broadcast
+    picked = F.broadcast(halves[0].unionByName(halves[1]))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("labelled"), whole_text().alias("own_text"))
+    # an id that repeats trains with one text, the one of least hash
+    texts = own.join(picked, "labelled").groupBy("labelled", "class").agg(F.min_by("own_text", F.xxhash64("own_text")).alias("own_text"))
+    texts = written(texts, "labelled-texts")
+    size, order = F.octet_length("own_text"), (F.xxhash64("labelled"), F.col("labelled"))
+    sizes = texts.select("labelled", "class", size.alias("size"))
+    before = F.sum("size").over(Window.partitionBy("class").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    within = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") + F.col("size") <= sample_bytes // 2) | (F.col("before") == 0))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py() or "") for t in batch.column("text")]
+            rows = [features(t.as_py()) for t in batch.column("own_text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())],
-                ["doc_id", "label", "buckets", "amounts"],
+                [batch.column("labelled"), batch.column("class"), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())],
+                ["labelled", "class", "buckets", "amounts"],
             )
 
-    # the sample has a bound, so it may be broadcast and its features may come to the driver
-    texts = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).select(
-        F.col("doc_id").cast("bigint"), F.col("label").cast("int"), F.col("text").cast("string")
-    )
-    found = texts.mapInArrow(featured, "doc_id bigint, label int, buckets binary, amounts binary").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
-    y = found["label"].to_numpy()
+    # rows and bytes of the sample have a bound, so its features may come to the driver
+    chosen = texts.join(F.broadcast(within.select("labelled")), "labelled", "left_semi").select("labelled", "class", "own_text")
+    found = chosen.mapInArrow(featured, "labelled bigint, class int, buckets binary, amounts binary").orderBy("labelled").collect()
+    y = np.array([r["class"] for r in found], np.int64)
     if len({*y.tolist()}) < 2:
         return None
-    rows = [(np.frombuffer(b, np.int32), np.frombuffer(a, np.float32)) for b, a in zip(found["buckets"], found["amounts"], strict=True)]
-    return _fitted(rows, y)
+    return _fitted([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.amounts, np.float32)) for r in found], y)
 
 
 SCORED = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, probability double"

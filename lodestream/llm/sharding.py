@@ -1,9 +1,14 @@
 """Sharding by fixed virtual slots (DataFrame operations only).
 
-Records are hashed by id into ``SLOTS`` virtual slots; bytes are aggregated per slot; a
-versioned map gives each slot its shard. Slots are dealt to shards largest first, each to
-the shard with the fewest bytes so far, so shards come out near equal in bytes. Adding a
-shard edits the map: slots move only into the new one.
+Records are hashed by id and checksum into ``SLOTS`` virtual slots; bytes are aggregated per
+slot; a versioned map gives each slot its shard. The first version deals slots out by number.
+Rebalancing edits the map by the bytes of the slots: a shard keeps its largest slots up to its
+fair share, and the rest goes, largest first, to the shard with the fewest bytes so far, so
+shards come out near equal in bytes. Adding a shard edits the map too: slots move only into
+the new one.
+
+A slot can't be parted by the map, so one that rows of one id and text overfill is cut before:
+its records are hashed once more, with their row numbers, over all slots.
 
 Defined results: a null text has no bytes, a null id hashes like any other value, rows that
 repeat get places of their own, an empty table gives an empty result, other columns are
@@ -12,23 +17,31 @@ never read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, whole_text, written
 
 SLOTS = 4096
+#: Bytes of a slot, as a multiple of the mean, from which it counts as overfull.
+OVERFULL = 8
+MAP = "virtual_slot int, shard int, version int"
+
+
+def _slot(slots: int, *of: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*of), F.lit(slots)).cast("int")
 
 
 def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1), text_crc32, virtual_slot."""
+    """doc_id, size (UTF-8 bytes plus 1), text_crc32, row (a number of its own), virtual_slot."""
     text = whole_text(text_col).cast("binary")
-    return docs.select(
+    rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    return rows.withColumn("virtual_slot", _slot(slots, "doc_id", "text_crc32"))
 
 
 def slot_totals(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -40,27 +53,55 @@ def slot_totals(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def first_map(totals: DataFrame, shards: int) -> DataFrame:
-    """Version 1 of the map: the largest slot first, each to the lightest shard.
+def cut_overfull(rows: DataFrame, totals: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``rows`` (written, so that their numbers hold) with the records of overfull slots spread over all slots."""
+    mean = F.avg("bytes").over(Window.partitionBy(F.lit(0)))  # of SLOTS rows
+    overfull = totals.withColumn("mean", mean).where((F.col("bytes") > OVERFULL * F.col("mean")) & (F.col("rows") > 1))
+    marked = rows.join(F.broadcast(overfull.select("virtual_slot", F.lit(True).alias("cut"))), "virtual_slot", "left")
+    spread = F.when(F.col("cut"), _slot(slots, "doc_id", "text_crc32", "row")).otherwise(F.col("virtual_slot"))
+    return marked.withColumn("virtual_slot", spread).drop("cut")
+
+
+def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Version 1 of a map: slots by number."""
+    return spark.range(slots).select(F.col("id").cast("int").alias("virtual_slot"), (F.col("id") % shards).cast("int").alias("shard"), F.lit(1).alias("version"))
+
 
-    The fold runs over the fixed number of slots, whatever the number of records.
+def rebalance(slot_map: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
+    """The next version, near equal in bytes.
+
+    Each shard keeps its largest slots while they fit its fair share; what is over is dealt largest
+    first to the lightest shard. The fold runs over the fixed number of slots, whatever the input.
     """
-    largest_first = F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot")))
-    start = F.struct(
-        F.array_repeat(F.lit(0).cast("bigint"), shards).alias("load"),
-        F.array().cast("array<int>").alias("dealt"),
+    held = slot_map.join(totals, "virtual_slot")
+    fair = F.sum("bytes").over(Window.partitionBy(F.lit(0))) / shards
+    so_far = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0))
+    placed = held.withColumn("fair", fair).withColumn("stays", so_far <= F.col("fair"))
+    one = placed.agg(
+        F.max("version").alias("version"),
+        F.collect_list(F.when(F.col("stays"), F.struct("virtual_slot", "shard", "bytes"))).alias("stay"),
+        F.sort_array(F.collect_list(F.when(~F.col("stays"), F.struct((-F.col("bytes")).alias("less"), "virtual_slot")))).alias("over"),
+    )
+    none = F.lit(0).cast("bigint")
+    loads = F.transform(
+        F.sequence(F.lit(0), F.lit(shards - 1)),
+        lambda s: F.aggregate(F.filter("stay", lambda x: x["shard"] == s), none, lambda total, x: total + x["bytes"]),
     )
 
-    def deal(state, slot):
+    def deal(state: Column, slot: Column) -> Column:
         lightest = (F.array_position(state["load"], F.array_min(state["load"])) - 1).cast("int")
         return F.struct(
             F.transform(state["load"], lambda b, i: F.when(i == lightest, b - slot["less"]).otherwise(b)).alias("load"),
             F.concat(state["dealt"], F.array(lightest)).alias("dealt"),
         )
 
-    dealt = totals.agg(largest_first.alias("s")).select("s", F.aggregate("s", start, deal)["dealt"].alias("dealt"))
-    pairs = dealt.select(F.explode(F.arrays_zip("s", "dealt")).alias("x"))
-    return pairs.select(F.col("x.s.virtual_slot").alias("virtual_slot"), F.col("x.dealt").alias("shard"), F.lit(1).alias("version"))
+    start = F.struct(F.col("loads").alias("load"), F.array().cast("array<int>").alias("dealt"))
+    dealt = one.withColumn("loads", loads).withColumn("dealt", F.aggregate("over", start, deal)["dealt"])
+    moved = F.transform(F.arrays_zip("over", "dealt"), lambda x: F.struct(x["over"]["virtual_slot"].alias("virtual_slot"), x["dealt"].alias("shard")))
+    stay = F.transform("stay", lambda x: F.struct(x["virtual_slot"].alias("virtual_slot"), x["shard"].alias("shard")))
+    return dealt.select(F.explode(F.concat(stay, moved)).alias("x"), "version").select(
+        "x.virtual_slot", F.col("x.shard").alias("shard"), (F.col("version") + 1).cast("int").alias("version")
+    )
 
 
 def add_shard(slot_map: DataFrame, totals: DataFrame) -> DataFrame:
@@ -84,7 +125,7 @@ def store_map(slot_map: DataFrame, path: str) -> DataFrame:
 
 
 def latest_map(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    versions = spark.read.schema(MAP).parquet(path)
     return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0])
 
 
@@ -107,8 +148,17 @@ def assign(rows: DataFrame, slot_map: DataFrame, totals: DataFrame) -> DataFrame
 
 
 def shard_by_bytes(docs: DataFrame, shards: int, map_path: str | None = None, slots: int = SLOTS) -> DataFrame:
-    """All steps: slots, bytes per slot, a stored map, and every record's shard and place."""
-    rows = written(with_slots(docs, slots=slots), "slotted")
+    """All steps: slots, bytes per slot, a stored map that is rebalanced, and every record's shard and place.
+
+    A map that is stored at ``map_path`` already is edited; else it begins with version 1.
+    """
+    spark = docs.sparkSession
+    hashed = written(with_slots(docs, slots=slots), "hashed")
+    rows = written(cut_overfull(hashed, written(slot_totals(hashed, slots), "hashed-totals"), slots), "slotted")
     totals = written(slot_totals(rows, slots), "slot-totals")
-    slot_map = store_map(first_map(totals, shards), map_path or new_path(docs.sparkSession, "slot-map"))
-    return assign(rows, slot_map, totals)
+    if map_path is None:
+        map_path = new_path(spark, "slot-map")
+        stored = store_map(first_map(spark, shards, slots), map_path)
+    else:
+        stored = latest_map(spark, map_path)
+    return assign(rows, store_map(rebalance(stored, totals, shards), map_path), totals)

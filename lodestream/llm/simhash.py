@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from . import near_copies
+from .common import LOWER, written
 from .components import components
 
 BITS = 64
@@ -37,7 +38,6 @@ SHINGLE = 3
 LEAST_BYTES = 8 - MOST_BITS
 LIST = 256
 BLOCK = 1 << 16
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -144,13 +144,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, longest_list: int =
     return prints.join(named.hint("merge"), "fp")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of which one of each component stays: that with the least id."""
-    found = near_duplicates(docs)
-    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(
-        F.col("s.doc_id").alias("kept_id"), F.col("s.text_hash").alias("kept_hash")
-    )
-    own = F.col("doc_id").cast("bigint")
-    kept = docs.join(stays, own.eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
-    # rows that repeat both id and text: one stays
-    return kept.dropDuplicates(["doc_id", "text"])
+#: Filters a corpus: of texts that are alike in shingles of five words, one stays.
+drop_near_copies = near_copies.drop_near_copies

@@ -50,10 +50,42 @@ def test_exact_dedup_keeps_columns_and_takes_empty_tables(spark):
     df = table(spark)
     out = exact_dedup.drop_copies(index, df)
     assert out.columns == df.columns
-    empty = exact_dedup.DigestIndex(spark, "idx_four", buckets=4)
+    empty = exact_dedup.DigestIndex(spark, "idx_four")
     assert empty.add(df.limit(0)).count() == 0
 
 
+def test_dropping_copies_with_clashing_columns_nulls_and_repeats(spark):
+    names = ["kept_id", "kept_digest", "gone_id", "gone_told", "digest", "stays", "n", "row", "id", "told", "a.b"]
+    df = spark.createDataFrame([(1, None), (1, ""), (2, "x"), (3, "x"), (3, "x"), (None, "y"), (None, "y"), (None, "z")], "doc_id bigint, text string")
+    for n in names:
+        df = df.withColumn(n, F.lit("clash"))
+    out = exact_dedup.drop_copies(exact_dedup.DigestIndex(spark, "idx_five"), df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == [("1", ""), ("3", "x"), ("None", "y"), ("None", "z")]
+
+
+def test_the_index_is_sized_by_data_kept_by_name_and_compacted(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(exact_dedup, "MOST_FILES", 2)
+    name = "idx_grown"
+    seen = 0
+    for batch in range(4):
+        index = exact_dedup.DigestIndex(spark, name)  # meets the table of the batches before
+        docs = spark.createDataFrame([(k, f"text {k}") for k in range(400 * batch, 400 * batch + 500)], "doc_id bigint, text string")
+        got = index.add(docs).collect()
+        seen += sum(r.kept for r in got)
+        assert index.files_per_bucket() <= 2
+    assert seen == 1700 == index.table().count() and index.batches() == 4
+    assert exact_dedup.DigestIndex(spark, name).buckets == index.buckets >= 20
+    # while buckets are one file each, a join takes the index in its order
+    index.compact()
+    with index._in_order():
+        plan = index.table().join(index.table().alias("o").hint("merge"), "digest")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan
+    index.drop()
+    assert not index.exists()
+
+
 def test_shards_are_near_equal_and_places_have_no_gaps(spark):
     rng = random.Random(1)
     rows = [(i, "w" * rng.randint(0, 3000)) for i in range(3000)] + [(5, None), (5, None), (None, "n")]
@@ -70,21 +102,63 @@ def test_shards_are_near_equal_and_places_have_no_gaps(spark):
     assert sharding.shard_by_bytes(table(spark).limit(0), 8).count() == 0
 
 
+def test_shards_of_one_repeated_record_are_near_equal(spark):
+    rows = [(7, "same")] * 900 + [(None, None)] * 900 + [(k, "x" * 5) for k in range(20)] + [(8, "w" * 40)] * 500
+    got = sharding.shard_by_bytes(table(spark, rows), 8).collect()
+    load, places = defaultdict(int), defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    assert len(got) == len(rows) and max(load.values()) <= 1.01 * min(load.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_shards_by_brute_force(spark):
+    """The map and the places rebuilt from the virtual slots."""
+    rows = [(i, "t" * (i * 37 % 900)) for i in range(1500)]
+    path = new_path(spark, "brute-map")
+    sharding.store_map(sharding.first_map(spark, 5, 64), path)
+    got = sharding.shard_by_bytes(table(spark, rows), 5, path, 64).collect()
+    held = defaultdict(list)
+    for r in got:
+        held[r.virtual_slot].append(r)
+    size = {s: sum(r.size for r in held[s]) for s in range(64)}
+    fair, load, over, shard_of = sum(size.values()) / 5, [0] * 5, [], {}
+    for shard in range(5):
+        for s in sorted((s for s in range(64) if s % 5 == shard), key=lambda s: (-size[s], s)):
+            before = sum(size[o] for o in range(64) if o % 5 == shard and (-size[o], o) < (-size[s], s))
+            if before + size[s] <= fair:
+                shard_of[s], load[shard] = shard, load[shard] + size[s]
+            else:
+                over.append((-size[s], s))
+    for less, s in sorted(over):
+        shard_of[s] = load.index(min(load))
+        load[shard_of[s]] -= less
+    assert {r.virtual_slot: r.shard for r in sharding.latest_map(spark, path).collect()} == shard_of
+    assert sharding.latest_map(spark, path).first().version == 2
+    at = [0] * 5
+    for s in range(64):
+        own = sorted(held[s], key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(at[shard_of[s]], at[shard_of[s]] + len(own))) and {r.shard for r in own} <= {shard_of[s]}
+        assert [r.doc_id for r in own] == sorted(r.doc_id for r in own)
+        at[shard_of[s]] += len(own)
+
+
 def test_a_new_shard_takes_slots_only_into_itself(spark):
     rows = sharding.with_slots(table(spark, [(i, "t" * (i % 700)) for i in range(4000)]), slots=512)
     totals = sharding.slot_totals(rows, 512)
     path = new_path(spark, "map")
-    first = sharding.store_map(sharding.first_map(totals, 4), path)
+    first = sharding.store_map(sharding.rebalance(sharding.first_map(spark, 4, 512), totals, 4), path)
     second = sharding.store_map(sharding.add_shard(first, totals), path)
     old, new = ({r.virtual_slot: (r.shard, r.version) for r in m.collect()} for m in (first, second))
     moved = [s for s in old if old[s][0] != new[s][0]]
-    assert moved and all(new[s] == (4, 2) for s in moved) and set(old) == set(new) == set(range(512))
+    assert moved and all(new[s] == (4, 3) for s in moved) and set(old) == set(new) == set(range(512))
     size = {r.virtual_slot: r.bytes for r in totals.collect()}
     loads = defaultdict(int)
     for s, (shard, _) in new.items():
         loads[shard] += size[s]
     assert max(loads.values()) < 1.2 * sum(loads.values()) / 5
-    assert sharding.latest_map(spark, path).first().version == 2
+    assert sharding.latest_map(spark, path).first().version == 3
 
 
 def reference_ids(name, text, end):

@@ -149,6 +149,18 @@ def test_without_both_classes_only_the_base_rules_decide(spark):
     assert [r.doc_id for r in quality.keep_good(docs, model).collect()] == [2]
 
 
+def test_a_labelled_id_that_repeats_is_one_row_and_bytes_have_a_bound(spark, monkeypatch):
+    rows, _ = labelled(60, 60)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(0, f"other {k} " * 20) for k in range(20000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, quality int")
+    given = []
+    monkeypatch.setattr(quality, "_fitted", lambda rows, y, real=quality._fitted: given.append(y) or real(rows, y))
+    quality.train(docs, labels)
+    quality.train(docs, labels, sample_bytes=4000)
+    quality.train(docs, labels, sample_bytes=1)
+    assert np.bincount(given[0]).tolist() == [60, 60] and 2 < len(given[1]) < 30 and np.bincount(given[2]).tolist() == [1, 1]
+
+
 def labelled(good, junk, missing=0):
     """Rows (doc_id, text, quality) of two kinds of prose, and labels of ids that have no document."""
     rng = random.Random(7)

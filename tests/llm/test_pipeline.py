@@ -4,13 +4,14 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestream.llm import quality, simhash
+from lodestream.llm import quality
 from lodestream.llm.suffix_dedup import _within
 
 from .test_pages_and_quality import brute_measures
-from .test_simhash import brute as brute_roots
+from .test_simhash import brute_near
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,7 +52,7 @@ def test_stages_equal_brute_force(spark):
     last = {text: doc_id for doc_id, text in sorted(good.items())}
     single = {doc_id: text for text, doc_id in last.items()}
     ids = sorted(single)
-    roots = brute_roots([simhash.fingerprint(single[i]) for i in ids])
+    roots = brute_near([single[i] for i in ids])
     apart = {ids[k]: single[ids[k]] for k in range(len(ids)) if roots[k] == k}
     left = brute_removed(apart)
 
@@ -78,6 +79,18 @@ def test_stages_equal_brute_force(spark):
         assert at == len(whole)
 
 
+def test_stages_take_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs
+    for c in ("label", "labelled", "class", "told", "kept_id", "kept_hash", "kept_digest", "gone_id", "digest", "doc", "bytes", "marks", "spans", "kept", "node", "row"):
+        odd = odd.withColumn(c, F.lit(7))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        want, got = stage(spark, docs, SF), stage(spark, odd, SF)
+        assert got.columns == odd.columns, name
+        assert sorted(map(tuple, got.select(docs.columns).collect())) == sorted(map(tuple, want.collect())), name
+    assert corpus_pipeline.packed(spark, odd, SF).count() == corpus_pipeline.packed(spark, docs, SF).count()
+
+
 def test_stages_take_odd_tables(spark, tmp_path):
     rows = [(1, None, "en", "s", 0), (None, "x y", None, None, None), (1, None, "en", "s", 0), (2, "word " * 9, "en", "s", 45), (2, "other", "en", "s", 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
