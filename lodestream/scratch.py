@@ -11,7 +11,9 @@ from pyspark.sql import SparkSession
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:  # one machine, as in tests
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):  # a machine's own folder is for tests on one machine
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         shared = "file://" + tempfile.mkdtemp(prefix="lodestream-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
