@@ -228,3 +228,48 @@ def test_a_head_without_end_tag():
         assert html_extract.main_text(head + start + paragraphs(0, 1)).split("\n") == want, start
     assert html_extract.main_text(head + LONG.format(0)) == LONG.format(0)
     assert html_extract.main_text("<head><title>T</title><script>x</script></head>") == ""
+
+
+def test_dropped_parts_end_at_their_own_end_tag():
+    page = "<body><article>{}" + paragraphs(0, 1) + "</article></body>"
+    want = [LONG.format(0), LONG.format(1)]
+    for part in (
+        "<ul class=menu><li>Home<ul><li>Sub</li></ul></li><li>LEAK</li></ul>",
+        "<div class=ad><div>a</div>LEAK</div>",
+        "<div class='cookie-notice'><span>a<span>b</span>LEAK</span> LEAK</div>",
+        "<table class=sidebar><tr><td><table><tr><td>x</table>LEAK<td>LEAK</table>",
+        "<section class=comments><div><p>a<p>b</div>LEAK<ul><li>c<li>LEAK</ul>LEAK</section>",
+        "<form><div>a</div>LEAK<form>LEAK</form></form>",
+        "<nav><nav>a</nav>LEAK</nav>",
+        "<p class=notice>LEAK",
+    ):
+        assert html_extract.main_text(page.format(part)).split("\n") == want, part
+
+
+def test_names_that_only_begin_like_a_part_stay():
+    for name in ("section-header", "related-work", "notice-board", "search-algorithm", "share-price", "ad-hoc", "comment-period", "menu-item"):
+        for tag in ("h2", "div", "section", "p"):
+            page = f"<body><article><{tag} class='{name}'>Kept heading</{tag}>{paragraphs(0, 1)}</article></body>"
+            assert html_extract.main_text(page).split("\n")[0] == "Kept heading", (name, tag)
+    for name in ("ad", "ad-2", "cookie-notice", "site-menu", "comment-list", "related-articles", "newsletter_form", "x sidebar"):
+        page = f"<body><article><div class='{name}'>Gone</div>{paragraphs(0, 1)}</article></body>"
+        assert html_extract.main_text(page).split("\n")[0] == LONG.format(0), name
+
+
+def test_ratios_and_links_tell_menus(monkeypatch):
+    menu = "<div><ul>" + "".join(f"<li><a href='/{k}'>Item {k}</a></li>" for k in range(6)) + "</ul></div>"
+    sources = "<ul>" + "".join(f"<li><a href='/{k}'>{LONG.format(k)}</a></li>" for k in range(4)) + "</ul>"
+    page = f"<body><article><h1>Title</h1>{paragraphs(*range(4))}<p>Short.</p>{paragraphs(*range(4))}{menu}</article>{menu}</body>"
+    want = ["Title", *[LONG.format(k) for k in range(4)], "Short.", *[LONG.format(k) for k in range(4)]]
+    assert html_extract.main_text(page).split("\n") == want
+    assert html_extract.main_text(page.replace("</article>", sources + "</article>")).split("\n") == want + [LONG.format(k) for k in range(4)]
+    bare = page.replace("article>", "div>")  # without the tag the clusters alone choose the region
+    assert html_extract.main_text(bare).split("\n") == want
+    monkeypatch.setattr(html_extract, "_ratios", lambda lines: np.ones(len(lines)))
+    assert html_extract.main_text(page).split("\n") != want and html_extract.main_text(bare).split("\n") != want
+
+
+def test_pages_that_repeat_and_deep_ones(spark):
+    page = "<div>" * 3000 + paragraphs(0) + "</div>" * 3000
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "u", "<b>" * 5000 + "x")], "page_id bigint, url string, html string")
+    assert sorted(r.text for r in html_extract.extract(df).collect()) == [LONG.format(0)] * 2 + ["x"]
