@@ -7,7 +7,7 @@ another across the corpus; they are dealt into shards by what they contain:
 1. Each window's anchor is the least hash of its ``ANCHOR``-byte substrings. Equal windows have
    equal anchors, and neighbours mostly share one, so a document becomes runs of windows.
    Equal runs are combined in each task before anything is shuffled.
-2. Runs meet by anchor. Of equal runs only the earliest can hold first occurrences; anchors
+2. Runs meet by anchor, in sorted order, so that no task holds an anchor's runs. Of equal runs only the earliest can hold first occurrences; anchors
    with one distinct run need nothing more, unless the anchor occurs in it twice.
 3. The bytes of the distinct runs that share an anchor go to the anchor's shard; each shard
    builds a suffix array by induced sorting and its common prefixes, and marks windows that
@@ -42,7 +42,9 @@ BLOCK = 1 << 18
 #: Windows in a run at most, so that runs of one character stay short strings.
 LONGEST_RUN = 256
 #: Distinct runs of an anchor from which they are dealt out window by window.
-COMMON_ANCHOR = 4096
+COMMON_ANCHOR = 512
+#: Windows of common anchors that a task holds at once.
+ALONE = 200_000
 SHARD_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 RUN, MARK, SHARED, COMMON, REPEATING = 0, 1, 2, 3, 4
@@ -215,31 +217,66 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(MARK, _mixed(own.astype(np.uint64)), np.zeros(len(own), np.int64), own, begins, windows)
 
 
+RUN_COLUMNS = ("kind", "anchor", "content", "doc", "start", "windows")
+
+
+def _kinds(kinds: np.ndarray, distinct: np.ndarray, common: int) -> np.ndarray:
+    """What becomes of distinct runs whose anchor has ``distinct`` of them; RUN where nothing more is needed."""
+    needed = (distinct > 1) | (kinds == REPEATING)
+    return np.where(distinct > common, COMMON, np.where(needed, SHARED, RUN))
+
+
 def _meet(batches: Iterator[pa.RecordBatch], common: int) -> Iterator[pa.RecordBatch]:
-    found = []
+    """Runs in order of anchor, content, doc and start; no more than ``common`` of one anchor are held at once."""
+    pending = tuple(np.empty(0, np.int64) for _ in RUN_COLUMNS)  # the distinct runs so far of the last anchor
+    hot: tuple[int, int] | None = None  # anchor and last content of one that has more than ``common``
+
+    def marked(rows: tuple[np.ndarray, ...], later: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if later.any():
+            own, begins, windows = _merged(*(c[later] for c in rows[3:]))
+            yield _rows(MARK, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), own, begins, windows)
+
+    def given(rows: tuple[np.ndarray, ...], kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = kinds != RUN
+        if some.any():
+            yield _rows(kinds[some], *(c[some] for c in rows[1:]))
+
     for batch in batches:
-        marks = batch.filter(pa.compute.equal(batch.column("kind"), MARK))
+        is_mark = pa.compute.equal(batch.column("kind"), MARK)
+        marks = batch.filter(is_mark)
         if marks.num_rows:
             yield marks
-        runs = batch.filter(pa.compute.not_equal(batch.column("kind"), MARK))
-        if runs.num_rows:
-            found.append(tuple(_column(runs, c) for c in ("kind", "anchor", "content", "doc", "start", "windows")))
-    if not found:
-        return
-    kinds, anchor, content, doc, start, size = map(np.concatenate, zip(*found, strict=True))
-    found.clear()
-    order, new = _firsts(anchor, content, doc, start)
-    later = order[~new]
-    if len(later):
-        own, begins, windows = _merged(doc[later], start[later], size[later])
-        yield _rows(MARK, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), own, begins, windows)
-    first = order[new]
-    group = np.flatnonzero(np.concatenate([[True], anchor[first][1:] != anchor[first][:-1]]))
-    distinct = np.diff(np.append(group, len(first)))
-    distinct = np.repeat(distinct, distinct)
-    for kind, some in ((SHARED, first[((distinct > 1) | (kinds[first] == REPEATING)) & (distinct <= common)]), (COMMON, first[distinct > common])):
-        if len(some):
-            yield _rows(kind, anchor[some], content[some], doc[some], start[some], size[some])
+        rows = tuple(_column(batch.filter(pa.compute.invert(is_mark)), c) for c in RUN_COLUMNS)
+        if hot is not None:
+            n = int(np.searchsorted(rows[1], hot[0], side="right"))
+            if n:
+                more = tuple(c[:n] for c in rows)
+                new = np.concatenate([[more[2][0] != hot[1]], more[2][1:] != more[2][:-1]])
+                yield from marked(more, ~new)
+                yield from given(more, np.where(new, COMMON, RUN))
+                hot = (hot[0], int(more[2][-1]))
+            if n == len(rows[1]):
+                continue
+            hot, rows = None, tuple(c[n:] for c in rows)
+        rows = tuple(np.concatenate([p, c]) for p, c in zip(pending, rows, strict=True))
+        if not len(rows[1]):
+            continue
+        new = np.ones(len(rows[1]), bool)
+        new[1:] = (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
+        yield from marked(rows, ~new)
+        rows = tuple(c[new] for c in rows)
+        group = np.flatnonzero(np.concatenate([[True], rows[1][1:] != rows[1][:-1]]))
+        sizes = np.diff(np.append(group, len(rows[1])))
+        last = int(group[-1])
+        distinct = np.repeat(sizes, sizes)
+        yield from given(tuple(c[:last] for c in rows), _kinds(rows[0][:last], distinct[:last], common))
+        pending = tuple(c[last:] for c in rows)
+        if sizes[-1] > common:
+            yield from given(pending, np.full(sizes[-1], COMMON))
+            hot = (int(pending[1][-1]), int(pending[2][-1]))
+            pending = tuple(c[:0] for c in pending)
+    if len(pending[1]):
+        yield from given(pending, _kinds(pending[0], np.full(len(pending[1]), len(pending[1])), common))
 
 
 PIECES = "anchor bigint, doc bigint, start bigint, windows bigint, piece binary"
@@ -252,8 +289,24 @@ def _pieces(anchor, doc, start, windows, piece) -> pa.RecordBatch:
     )
 
 
+def _combined(alone: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Windows (hash, doc, start, bytes); of equal ones the first keeps its bytes, the others are marks."""
+    alone.sort(key=lambda w: (w[0], w[3], w[1], w[2]))
+    marks, kept, last = [], [], None
+    for h, doc, start, window in alone:
+        if last == (h, window):
+            marks.append((h, doc, start, 1, None))
+        else:
+            kept.append((h, doc, start, 1, window))
+            last = (h, window)
+    alone.clear()
+    for rows in (marks, kept):
+        for at in range(0, len(rows), 50_000):
+            yield _pieces(*zip(*rows[at : at + 50_000], strict=True))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the shared runs; windows of common anchors apart, equal ones combined."""
+    """Bytes of the shared runs; windows of common anchors apart, equal ones combined ``ALONE`` at a time."""
     alone: list[tuple[int, int, int, bytes]] = []
     for batch in batches:
         out: list[tuple[int, int, int, int, bytes]] = []
@@ -268,20 +321,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sums, inverses = _prefix_hashes(np.frombuffer(piece, np.uint8))
                     hashes = _mixed((sums[MATCH:] - sums[:-MATCH]) * inverses[:n]).view(np.int64)
                     alone += [(h, doc, start + k, piece[k : k + MATCH]) for k, h in enumerate(hashes.tolist())]
+                    if len(alone) >= ALONE:
+                        yield from _combined(alone)
         if out:
             yield _pieces(*zip(*out, strict=True))
     if alone:
-        alone.sort()
-        marks, kept, last = [], [], None
-        for h, doc, start, window in alone:
-            if last is not None and last == (h, window):
-                marks.append((h, doc, start, 1, None))
-            else:
-                kept.append((h, doc, start, 1, window))
-                last = (h, window)
-        for rows in (marks, kept):
-            for at in range(0, len(rows), 50_000):
-                yield _pieces(*zip(*rows[at : at + 50_000], strict=True))
+        yield from _combined(alone)
 
 
 MARKS = "doc bigint, start bigint, windows bigint"
@@ -339,7 +384,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tup
 def repeated(keyed: DataFrame, common: int = COMMON_ANCHOR) -> DataFrame:
     """Windows that an earlier place holds: doc, start, windows. keyed: doc, bytes, one row each."""
     texts = keyed.select("doc", "bytes")
-    met = written(texts.mapInArrow(_find_runs, ROWS).repartition("anchor").mapInArrow(partial(_meet, common=common), ROWS), "runs")
+    found = texts.mapInArrow(_find_runs, ROWS).repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "start")
+    met = written(found.mapInArrow(partial(_meet, common=common), ROWS), "runs")
     shared = met.where(F.col("kind").isin(SHARED, COMMON))
     per_run = F.when(F.col("kind") == COMMON, F.col("windows") * MATCH).otherwise(F.col("windows") + MATCH)
     total = shared.agg(F.sum(per_run)).first()[0] or 0

@@ -1,7 +1,12 @@
 """Suffix arrays of byte strings by induced sorting, and their permuted common prefixes.
 
-All steps work on whole numpy arrays. Inducing goes bucket by bucket of the first symbol; what
-one bucket induces goes to its places in one step, and only runs of one symbol need another.
+All steps work on whole numpy arrays. Inducing goes by buckets of the first symbol. A large
+bucket is a step of its own, where what it induces into itself (runs of one symbol) needs one
+more step each. Small buckets that follow one another are a step together: what they induce
+among themselves is found first and put in order by rank, and all that they induce beyond goes
+to its places at once. So the reduced string, whose symbols are very many and rare, is sorted by
+the same function, as often as it has equal names.
+
 The strings of a shard are joined by separators that match nothing.
 """
 
@@ -9,9 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Names from which the reduced string is sorted by doubling ranks instead of by recursion:
-#: bucket by bucket pays only while buckets are few.
-FEW_NAMES = 1024
+#: Suffixes of the buckets that are a step together.
+TOGETHER = 4096
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -42,11 +46,58 @@ class _Inducer:
         nth = np.arange(len(symbol)) - np.repeat(first, sizes)
         return found[order], symbol, nth, symbol[first], sizes
 
+    def _steps(self) -> list[tuple[int, int]]:
+        """Ranges of symbols that are taken together."""
+        present = np.flatnonzero(self.ends > self.heads)
+        group = self.heads[present] // TOGETHER
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        last = np.append(first[1:], len(present)) - 1
+        return list(zip(present[first].tolist(), (present[last] + 1).tolist(), strict=True))
+
+    @staticmethod
+    def _inside(start: np.ndarray, induced) -> tuple[np.ndarray, np.ndarray, int]:
+        """(suffixes, parents, steps) that ``start`` induces into its own buckets, directly or not;
+        parents are places in start and the suffixes before."""
+        found, parents, block, at, steps = [], [], start, 0, 0
+        while True:
+            made, parent = induced(block)
+            if not len(made):
+                break
+            steps += 1
+            found.append(made)
+            parents.append(parent + at)
+            at += len(block)
+            block = made
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), 0
+        return np.concatenate(found), np.concatenate(parents), steps
+
+    @staticmethod
+    def _ranked(base: np.ndarray, parents: np.ndarray, known: int, steps: int) -> np.ndarray:
+        """Order of a step's suffixes: by ``base`` (bucket and kind), then, for the known ones, as they
+        stand, and for the others as their parents; rounds reach twice as far each."""
+        n = len(base)
+        up = np.concatenate([np.arange(known), parents])
+        second = np.where(np.arange(n) < known, np.arange(n), 0)
+        order, reach = np.lexsort((second, base)), 1
+        while steps:
+            new = np.ones(n, bool)
+            new[1:] = (base[order][1:] != base[order][:-1]) | (second[order][1:] != second[order][:-1])
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new)
+            base, second = rank, rank[up]
+            order = np.lexsort((second, base))
+            if reach > steps:
+                break
+            up, reach = up[up], 2 * reach
+        return order
+
     def order(self, leftmost: np.ndarray) -> np.ndarray:
         """leftmost: the leftmost-smaller suffixes in their order (within a symbol at least)."""
         text, smaller = self.text, self.smaller
         out = np.full(len(text), -1, np.int32)
         at = self.heads.copy()
+        steps = self._steps()
 
         def forward(block: np.ndarray) -> None:
             found = block[block > 0] - 1
@@ -56,10 +107,9 @@ class _Inducer:
                 out[at[symbol] + nth] = found
                 at[kinds] += sizes
 
-        by_symbol = text[leftmost]
-        cut = np.searchsorted(by_symbol, np.arange(len(self.heads) + 1))
-        present = np.flatnonzero(self.ends > self.heads)
-        for c in present:
+        cut = np.searchsorted(text[leftmost], np.arange(len(self.heads) + 1))
+
+        def forward_one(c: int) -> None:
             done = self.heads[c]
             while done < at[c]:
                 block = out[done : at[c]]
@@ -67,6 +117,35 @@ class _Inducer:
                 forward(block)
             if cut[c] < cut[c + 1]:
                 forward(leftmost[cut[c] : cut[c + 1]])
+
+        def forward_some(low: int, high: int) -> None:
+            region = out[self.heads[low] : self.ends[high - 1]]
+            placed, own = region[region >= 0].astype(np.int64), leftmost[cut[low] : cut[high]].astype(np.int64)
+            start = np.concatenate([placed, own])
+
+            def induced(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                parent = np.flatnonzero(block > 0)
+                made = block[parent] - 1
+                kept = ~smaller[made] & (text[made] < high)
+                return made[kept], parent[kept]
+
+            made, parents, depth = self._inside(start, induced)
+            every = np.concatenate([start, made])
+            kind = np.concatenate([np.zeros(len(placed), np.int64), np.full(len(own), 2), np.ones(len(made), np.int64)])
+            order = self._ranked(text[every].astype(np.int64) * 3 + kind, parents, len(start), depth)
+            scan = every[order]
+            larger = scan[kind[order] < 2]
+            if len(larger):
+                larger, symbol, nth, kinds, sizes = self._dealt(larger)
+                out[self.heads[symbol] + nth] = larger
+                at[kinds] = self.heads[kinds] + sizes
+            forward(scan[(scan > 0) & (text[scan - 1] >= high)])
+
+        for low, high in steps:
+            if high - low == 1:
+                forward_one(low)
+            else:
+                forward_some(low, high)
         larger_end, back = at, self.ends.copy()
 
         def backward(block: np.ndarray) -> None:
@@ -77,13 +156,41 @@ class _Inducer:
                 out[back[symbol] - 1 - nth] = found
                 back[kinds] -= sizes
 
-        for c in present[::-1]:
+        def backward_one(c: int) -> None:
             done = self.ends[c]
             while done > back[c]:
                 block = out[back[c] : done][::-1]
                 done = back[c]
                 backward(block)
             backward(out[self.heads[c] : larger_end[c]][::-1])
+
+        def backward_some(low: int, high: int) -> None:
+            region = out[self.heads[low] : self.ends[high - 1]][::-1]
+            start = region[region >= 0].astype(np.int64)
+
+            def induced(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                parent = np.flatnonzero(block > 0)
+                made = block[parent] - 1
+                kept = smaller[made] & (text[made] >= low)
+                return made[kept], parent[kept]
+
+            made, parents, depth = self._inside(start, induced)
+            every = np.concatenate([start, made])
+            kind = np.concatenate([np.where(smaller[start], 0, 2), np.ones(len(made), np.int64)])
+            order = self._ranked(kind - text[every].astype(np.int64) * 3, parents, len(start), depth)
+            scan = every[order]
+            small = scan[kind[order] < 2]
+            if len(small):
+                small, symbol, nth, kinds, sizes = self._dealt(small)
+                out[self.ends[symbol] - 1 - nth] = small
+                back[kinds] = self.ends[kinds] - sizes
+            backward(scan[(scan > 0) & (text[scan - 1] < low)])
+
+        for low, high in reversed(steps):
+            if high - low == 1:
+                backward_one(low)
+            else:
+                backward_some(low, high)
         out[0] = len(text) - 1
         return out
 
@@ -106,30 +213,8 @@ def _names(text: np.ndarray, ordered: np.ndarray, leftmost: np.ndarray) -> np.nd
     return np.cumsum(new) - 1
 
 
-def _doubled(reduced: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the reduced string's suffixes to ``depth`` symbols, by doubling ranks."""
-    n = len(reduced)
-    counts = np.bincount(reduced)
-    rank = (np.cumsum(counts) - counts)[reduced]
-    sizes = np.bincount(rank, minlength=n)
-    open_, reach = np.flatnonzero(sizes[rank] > 1), 1
-    while len(open_) and reach < depth:
-        after = np.where(open_ + reach < n, rank[np.minimum(open_ + reach, n - 1)] + 1, 0)
-        order = np.lexsort((after, rank[open_]))
-        open_, after = open_[order], after[order]
-        own = rank[open_]
-        group = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        part = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (after[1:] != after[:-1])]))
-        size = np.diff(np.append(part, len(open_)))
-        group_start = np.repeat(group, np.diff(np.append(group, len(open_))))
-        rank[open_] = own + np.repeat(part, size) - group_start
-        open_ = open_[np.repeat(size, size) > 1]
-        reach *= 2
-    return np.argsort(rank, kind="stable")
-
-
-def suffix_array(text: np.ndarray, symbols: int, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in order of at least their first ``depth`` symbols.
+def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
+    """Suffixes of ``text`` in order.
 
     text: numbers below ``symbols``; the last is 0 and occurs once.
     """
@@ -148,10 +233,7 @@ def suffix_array(text: np.ndarray, symbols: int, depth: int) -> np.ndarray:
         named = np.empty(len(text), np.int64)
         named[ordered] = names
         reduced = named[leftmost]
-        few = count <= FEW_NAMES and len(reduced) > 4 * count
-        # each symbol of the reduced string stands for two symbols at least
-        by_reduced = suffix_array(reduced.astype(np.uint16), count, depth) if few else _doubled(reduced, depth)
-        ordered = leftmost[by_reduced]
+        ordered = leftmost[suffix_array(reduced.astype(np.int32), count)]
     return inducer.order(ordered)
 
 
@@ -201,7 +283,7 @@ def later_copies(pieces: list[bytes], depth: int) -> np.ndarray:
     text = joined.astype(np.uint16) + 2
     text[ends] = 1
     text[n - 1] = 0
-    order = suffix_array(text, 258, depth)
+    order = suffix_array(text, 258)
     apart = text.astype(np.int32)
     apart[ends] = -1 - np.arange(len(ends), dtype=np.int32)
     shares = common_prefixes(apart, order)[order] >= depth

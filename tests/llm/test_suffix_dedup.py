@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestream.llm import suffix_dedup, suffixes
@@ -36,20 +37,74 @@ def brute(rows, match=100):
 
 
 def test_suffix_array_and_copies_equal_brute_force(monkeypatch):
-    import numpy as np
-
     rng = random.Random(4)
     for trial in range(400):
-        monkeypatch.setattr(suffixes, "FEW_NAMES", rng.choice([0, 1024]))
+        monkeypatch.setattr(suffixes, "TOGETHER", rng.choice([2, 16, 4096]))
         k, depth = rng.choice([1, 2, 3, 26]), rng.choice([1, 2, 5, 9])
         pieces = [bytes(rng.choice(range(97, 97 + k)) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 6))]
         pieces.append(rng.choice(pieces) + rng.choice(pieces))
         assert later_copies(pieces, depth).tolist() == brute_copies(pieces, depth)
         text = [rng.randrange(1, k + 1) for _ in range(rng.randint(0, 50))] + [0]
-        order = suffix_array(np.array(text, np.uint16), k + 1, 1000).tolist()
+        order = suffix_array(np.array(text, np.uint16), k + 1).tolist()
         assert order == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_large_alphabets_and_periodic_texts_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    for trial in range(150):
+        text = rng.integers(1, rng.integers(2, 250) + 1, rng.integers(2, 250))
+        text = np.repeat(text, rng.integers(1, 7, len(text))) if trial % 5 == 0 else np.tile(text[:9], 25) if trial % 7 == 0 else text
+        text = np.append(text, 0).astype(np.int32)
+        for together in (8, 64, 4096):
+            monkeypatch.setattr(suffixes, "TOGETHER", together)
+            assert suffix_array(text, int(text.max()) + 1).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+
+
+def test_the_reduced_string_of_a_shard_is_sorted_by_recursion(spark, monkeypatch):
+    texts = [r.text.encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sizes = []
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text, symbols, real=suffix_array: sizes.append((len(text), symbols)) or real(text, symbols))
+    data, n = [], 0
+    for t in texts:
+        if n + len(t) < suffix_dedup.SHARD_BYTES:
+            data.append(t)
+            n += len(t) + 1
+    copies = later_copies(data, 100)
+    assert len(sizes) >= 4 and sizes[1][1] > 10_000, sizes
+    seen, at = set(), 0
+    for t in data:
+        for i in range(0, len(t) - 99, 13):
+            assert not copies[at + i] or t[i : i + 100] in seen or t.find(t[i : i + 100]) < i
+        seen |= {t[i : i + 100] for i in range(len(t) - 99)}
+        at += len(t) + 1
+
+
+def test_runs_meet_in_a_stream():
+    """Whatever the batches and the bound: each content's first run passes, the others are marked."""
+    rng = random.Random(6)
+    for trial in range(60):
+        rows = [(suffix_dedup.RUN, a, 10 * a + rng.randrange(1 + 4 * a), d, 7 * rng.randrange(5), 3) for a in range(6) for d in range(rng.randrange(1, 9))]
+        rows = sorted(set(rows), key=lambda r: r[1:])
+        rows = [(suffix_dedup.REPEATING if r[2] % 3 == 0 else r[0], *r[1:]) for r in rows]
+        common, size = rng.choice([0, 1, 3, 99]), rng.choice([1, 2, 5, 100])
+        batches = [suffix_dedup._rows(*(np.array(c, np.int64) for c in zip(*rows[k : k + size], strict=True))) for k in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in suffix_dedup._meet(iter(batches), common) for r in b.to_pylist()]
+        first, contents, marks = {}, {}, set()
+        for r in rows:
+            contents.setdefault(r[1], set()).add(r[2])
+            if r[1:3] in first:
+                marks |= {(r[3], r[4] + k) for k in range(3)}
+            else:
+                first[r[1:3]] = r
+        want = set()
+        for (a, _), r in first.items():
+            n = len(contents[a])
+            if n > common or n > 1 or r[0] == suffix_dedup.REPEATING:
+                want.add((suffix_dedup.COMMON if n > common else suffix_dedup.SHARED, *r[1:]))
+        assert {g for g in got if g[0] != suffix_dedup.MARK} == want
+        assert {(g[3], g[4] + k) for g in got if g[0] == suffix_dedup.MARK for k in range(g[5])} == marks
+
+
 def planted(rng):
     words = ["".join(rng.choice("abcdeé ñ") for _ in range(rng.randint(2, 9))) for _ in range(300)]
 
