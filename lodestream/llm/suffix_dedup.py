@@ -11,8 +11,8 @@ another across the corpus; they are dealt into shards by what they contain:
    with one distinct run need nothing more, unless the anchor occurs in it twice.
 3. The bytes of the distinct runs that share an anchor go to the anchor's shard; each shard
    builds a suffix array by induced sorting and its common prefixes, and marks windows that
-   an earlier place holds. Anchors that very many distinct runs share (a common line with all
-   kinds of neighbours) are dealt out further, window by window, by the hash of the window.
+   an earlier place holds. The runs of an anchor that very many distinct ones share (a common
+   line with all kinds of neighbours) are parted and dealt out by further hashes of their windows.
 4. Marks are gathered per document and the covered bytes removed.
 
 Defined results: a null text counts as empty; texts shorter than ``MATCH`` bytes stay whole;
@@ -41,10 +41,12 @@ ANCHOR = 32
 BLOCK = 1 << 18
 #: Windows in a run at most, so that runs of one character stay short strings.
 LONGEST_RUN = 256
-#: Distinct runs of an anchor from which they are dealt out window by window.
+#: Distinct runs of an anchor from which they are dealt out in parts.
 COMMON_ANCHOR = 512
-#: Windows of common anchors that a task holds at once.
-ALONE = 200_000
+#: Other hashes that part the runs of a common anchor.
+FURTHER = 4
+#: Parts of common anchors' runs that a task holds at once.
+ALONE = 100_000
 SHARD_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 RUN, MARK, SHARED, COMMON, REPEATING = 0, 1, 2, 3, 4
@@ -289,16 +291,28 @@ def _pieces(anchor, doc, start, windows, piece) -> pa.RecordBatch:
     )
 
 
-def _combined(alone: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Windows (hash, doc, start, bytes); of equal ones the first keeps its bytes, the others are marks."""
-    alone.sort(key=lambda w: (w[0], w[3], w[1], w[2]))
+def _parted(piece: bytes, windows: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first window, windows) of the parts of a common anchor's run. A window's key is made of its
+    anchors by ``FURTHER`` other hashes, of which mostly one at least lies in what is not common."""
+    sums, inverses = _prefix_hashes(np.frombuffer(piece, np.uint8))
+    grams = (sums[ANCHOR:] - sums[:-ANCHOR]) * inverses[: len(piece) - ANCHOR + 1]
+    key = np.zeros(windows, np.uint64)
+    for k in range(1, FURTHER + 1):
+        key = _mixed(key + _sliding(_mixed(grams + np.uint64(k)), MATCH - ANCHOR + 1, least=True))
+    place = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    yield from zip(key[place].view(np.int64).tolist(), place.tolist(), np.diff(np.append(place, windows)).tolist(), strict=True)
+
+
+def _combined(alone: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Parts (key, doc, start, windows, bytes); of equal ones the first keeps its bytes, the others are marks."""
+    alone.sort(key=lambda w: (w[0], w[4], w[1], w[2]))
     marks, kept, last = [], [], None
-    for h, doc, start, window in alone:
-        if last == (h, window):
-            marks.append((h, doc, start, 1, None))
+    for key, doc, start, n, part in alone:
+        if last == (key, part):
+            marks.append((key, doc, start, n, None))
         else:
-            kept.append((h, doc, start, 1, window))
-            last = (h, window)
+            kept.append((key, doc, start, n, part))
+            last = (key, part)
     alone.clear()
     for rows in (marks, kept):
         for at in range(0, len(rows), 50_000):
@@ -306,8 +320,8 @@ def _combined(alone: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBat
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the shared runs; windows of common anchors apart, equal ones combined ``ALONE`` at a time."""
-    alone: list[tuple[int, int, int, bytes]] = []
+    """Bytes of the shared runs; runs of common anchors in parts, equal ones combined ``ALONE`` at a time."""
+    alone: list[tuple[int, int, int, int, bytes]] = []
     for batch in batches:
         out: list[tuple[int, int, int, int, bytes]] = []
         for doc, text, runs in zip(_column(batch, "doc").tolist(), batch.column("bytes"), batch.column("runs").to_pylist(), strict=True):
@@ -318,9 +332,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if run["kind"] == SHARED:
                     out.append((run["anchor"], doc, start, n, piece))
                 else:
-                    sums, inverses = _prefix_hashes(np.frombuffer(piece, np.uint8))
-                    hashes = _mixed((sums[MATCH:] - sums[:-MATCH]) * inverses[:n]).view(np.int64)
-                    alone += [(h, doc, start + k, piece[k : k + MATCH]) for k, h in enumerate(hashes.tolist())]
+                    alone += [(key, doc, start + at, size, piece[at : at + size + MATCH - 1]) for key, at, size in _parted(piece, n)]
                     if len(alone) >= ALONE:
                         yield from _combined(alone)
         if out:
@@ -387,7 +399,7 @@ def repeated(keyed: DataFrame, common: int = COMMON_ANCHOR) -> DataFrame:
     found = texts.mapInArrow(_find_runs, ROWS).repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "start")
     met = written(found.mapInArrow(partial(_meet, common=common), ROWS), "runs")
     shared = met.where(F.col("kind").isin(SHARED, COMMON))
-    per_run = F.when(F.col("kind") == COMMON, F.col("windows") * MATCH).otherwise(F.col("windows") + MATCH)
+    per_run = F.when(F.col("kind") == COMMON, F.col("windows") * MATCH / FURTHER).otherwise(F.col("windows") + MATCH).cast("bigint")
     total = shared.agg(F.sum(per_run)).first()[0] or 0
     runs = shared.groupBy("doc").agg(F.collect_list(F.struct("kind", "anchor", "start", "windows")).alias("runs"))
     cut = texts.join(runs.hint("merge"), "doc").mapInArrow(_cut, PIECES)
