@@ -153,14 +153,13 @@ def drop_copies(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", tex
 def without(docs: DataFrame, judged: DataFrame, told: Column, told_by: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but those that ``judged`` (doc_id, ``told_by``, stays, n rows) lets go.
 
-    told: what ``told_by`` holds, from the columns of ``d``. What goes is written first: Spark
-    broadcasts it while it is below its threshold, else texts are shuffled once. Only where rows
+    told: what ``told_by`` holds, from the columns of ``d``. Texts are shuffled once. Only where rows
     repeat id and text (null is the empty text), of which one stays, the rows are dealt out by both.
     """
     judged = written(judged, "judged")
     gone = written(judged.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col(told_by).alias("gone_told")), "gone")
     same = F.col(f"d.{id_col}").cast("bigint").eqNullSafe(F.col("g.gone_id")) & (told == F.col("g.gone_told"))
-    survivors = docs.alias("d").join(gone.alias("g"), same, "left_anti")
+    survivors = docs.alias("d").join(gone.alias("g").hint("merge"), same, "left_anti")
     if judged.where("stays and n > 1").isEmpty():
         return survivors
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -137,18 +137,6 @@ def test_near_copies_of_odd_rows(spark):
     assert sorted((str(r.doc_id), (r.text or "")[:3]) for r in kept) == [("1", ""), ("2", "one"), ("3", "y y"), ("None", "x")]
 
 
-def test_shared_bytes_are_counted(spark):
-    rng = np.random.default_rng(4)
-    a = rng.integers(0, 256, (40, 144)).astype(np.uint8)
-    b = a.copy()
-    for k in range(40):
-        b[k, rng.permutation(144)[: 3 * k]] ^= rng.integers(1, 256, 3 * k).astype(np.uint8)
-    rows = [(k, a[k].view("<i8").tolist(), b[k].view("<i8").tolist()) for k in range(40)]
-    df = spark.createDataFrame(rows, "k int, a array<bigint>, b array<bigint>")
-    got = {r.k: r.n for r in df.select("k", near_copies.shared_bytes(F.col("a"), F.col("b")).alias("n")).collect()}
-    assert got == {k: 144 - 3 * k for k in range(40)}
-
-
 def test_long_lists_give_the_same_components(spark):
     rng = np.random.default_rng(2)
     words = [f"w{k}" for k in range(300)]
