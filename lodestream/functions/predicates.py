@@ -79,6 +79,17 @@ def is_recorded(command: Column, disabled: bool = False) -> Column:
     return F.lit(not disabled) & (first != "") & ~first.isin("history", "help")
 
 
+def flags_overlap(a: Column, b: Column) -> Column:
+    """Whether two sets of flags have one in common; null holds none."""
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+
+
+def health_of(told: Column) -> Column:
+    """``healthy``, ``degraded`` or ``unhealthy`` of a told state in any case; all else is unhealthy."""
+    state = F.lower(told)
+    return F.when(state.isin("healthy", "degraded"), state).otherwise("unhealthy")
+
+
 def health(result: Column) -> Column:
     return F.when(result, "healthy").otherwise("unhealthy")
 

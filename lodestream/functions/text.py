@@ -8,6 +8,7 @@ pandas functions.
 from __future__ import annotations
 
 import codecs
+import re
 import shlex
 import unicodedata
 
@@ -97,9 +98,24 @@ def strip_quotes_any(text: Column) -> Column:
     return F.when(quoted, unescape(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def item_name(name: Column, most: int = 100) -> Column:
+    """A name of 1 to ``most`` characters, trimmed after it was measured; null if it isn't one."""
+    return F.when(F.length(name).between(1, most) & (stripped(name) != ""), stripped(name))
+
+
+def now_epoch() -> Column:
+    """Seconds since 1970 of the query's time."""
+    return F.unix_micros(F.current_timestamp()) / 1e6
+
+
 def normalise_key(key: Column, prefix: str) -> Column:
-    """Trimmed, without the prefix, lower case."""
-    key = F.trim(key)
+    """Trimmed of white space of all kinds, without the prefix, lower case."""
+    key = stripped(key)
     bare = F.when(key.startswith(prefix), F.substring(key, F.lit(len(prefix) + 1), F.length(key))).otherwise(key)
     return F.lower(bare)
 
@@ -115,10 +131,31 @@ def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, ESC + r"\[[0-?]*[ -/]*[@-~]", "")
 
 
+def _parts(line: str, by: str) -> list[str]:
+    """One pass from the end over separators and quotes: a separator counts where all quotes behind it close."""
+    balanced, behind, cuts = True, {}, []  # behind: for each kind of quote, whether all closes after the next one
+    for mark in reversed(list(re.finditer(f"[{re.escape(by)}\"']", line))):
+        if mark.group() == by:
+            if balanced:
+                cuts.append(mark.start())
+        else:
+            closes = behind.get(mark.group(), False)
+            behind[mark.group()] = balanced
+            balanced = closes
+    edges = [-1, *reversed(cuts), len(line)]
+    return [line[a + 1 : b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def split_unquoted(line: Column, by: str = ";") -> Column:
     """Parts of a line between separators that no quotes enclose."""
-    # possessive, so that long lines need no deep recursion
-    return F.split(line, by + r"""(?=(?:[^"']++|"[^"]*+"|'[^']*+')*+\z)""")
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def quoted(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda text: _parts(text, by), na_action="ignore")
+
+    # only lines with both leave the JVM
+    both = line.contains(by) & line.rlike("[\"']")
+    return F.when(both, quoted(F.when(both, line))).otherwise(F.split(line, F.lit(f"\\Q{by}\\E")))
 
 
 def normal_format(name: Column) -> Column:
@@ -160,9 +197,10 @@ def redact(value: Column, shown: str = "***") -> Column:
     return F.when(value.isNotNull(), F.lit(shown))
 
 
-def backoff_delay(attempt: Column, delay: float, factor: float) -> Column:
-    """Seconds before an attempt; attempts count from 0."""
-    return F.lit(delay) * F.pow(F.lit(factor), attempt)
+def backoff_delay(attempt: Column, delay: float, factor: float, jitter: float = 0.0) -> Column:
+    """Seconds before an attempt, give or take ``jitter``; attempts count from 0."""
+    plain = F.lit(delay) * F.pow(F.lit(factor), attempt)
+    return plain + (F.rand() * 2 - 1) * jitter if jitter else plain
 
 
 def json_field(text: Column, name: str, default: str | None = None) -> Column:

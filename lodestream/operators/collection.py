@@ -41,18 +41,33 @@ def _numbered(rows: DataFrame, order: str) -> DataFrame:
     return dealt.join(before, "part").withColumn("nth", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "at", "before")
 
 
-def insert(items: DataFrame, new: DataFrame) -> DataFrame:
+def insert(items: DataFrame, new: DataFrame, last_id: int | None = None) -> DataFrame:
     """``items`` and the new (name, description) rows, numbered on in order of name; a name that is
-    taken, or twice among the new, is left out."""
+    taken, or twice among the new, is left out. ``last_id``: the last id ever given out, so that
+    none of a deleted row is used again; without it, the largest one there is."""
     first = new.groupBy("name").agg(F.min("description").alias("description"))
     fresh = _numbered(first.join(items.select("name"), "name", "left_anti"), "name")
-    last = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    last = items.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(last_id or 0)).alias("last"))
     made = fresh.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("nth") + 1).cast("bigint").alias("id"), "name", "description")
     return items.select("id", "name", "description").unionByName(made)
 
 
 def update(items: DataFrame, changes: DataFrame) -> DataFrame:
-    """``items`` with name and description of the ids in ``changes`` replaced; their places stay."""
+    """``items`` with name and description of the ids in ``changes`` replaced; their places stay.
+
+    Raises where an id is not there or comes twice, and where a new name belongs to another row.
+    """
+    if not changes.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("an id is changed twice")
+    if not changes.join(items.select("id"), "id", "left_anti").isEmpty():
+        raise KeyError("an id is not there")
+    changed = _updated(items, changes)
+    if not changed.join(changes.select("name"), "name", "left_semi").groupBy("name").count().where("count > 1").isEmpty():
+        raise ValueError("a name belongs to another row")
+    return changed
+
+
+def _updated(items: DataFrame, changes: DataFrame) -> DataFrame:
     new = changes.select("id", F.col("name").alias("new_name"), F.col("description").alias("new_description"), F.lit(True).alias("changed"))
     return items.join(new, "id", "left").select(
         "id",

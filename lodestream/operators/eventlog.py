@@ -79,6 +79,10 @@ class EventLog:
         moved = other.df.crossJoin(F.broadcast(last)).withColumn("_pos", F.col("_pos") + F.col("last") + 1).drop("last")
         return EventLog(self.df.unionByName(moved, allowMissingColumns=True))
 
+    def append_import(self, other: EventLog, kept: int = KEPT_IN_MEMORY) -> EventLog:
+        """The other log's rows behind this one's; the last ``kept`` of all stay."""
+        return self.append(other).retained(kept)
+
     def retained(self, n: int = KEPT_IN_MEMORY) -> EventLog:
         """The rows that loading keeps (``KEPT_ON_DISK``: that writing keeps)."""
         return EventLog(self.df).tail(n)
@@ -104,6 +108,31 @@ def command_view(log: EventLog, limit: int | None = DEFAULT_LIMIT, group_by: str
     return view.grouped_entries(limit) if group_by else view.tail(limit).rows()
 
 
+def restamped(rows: DataFrame, now: float) -> DataFrame:
+    """Rows as if added now: every time is ``now``, whatever it was."""
+    return rows.withColumn("timestamp", F.lit(now))
+
+
+def wrapped(rows: DataFrame, runtime: dict[str, str] | None = None) -> DataFrame:
+    """One row: the rows in order as ``entries``, and runtime facts as columns. For views that a limit has cut."""
+    entry_ = F.struct("_pos", *(c for c in rows.columns if c != "_pos"))
+    return with_runtime(rows.agg(F.sort_array(F.collect_list(entry_)).alias("entries")), runtime)
+
+
+def with_runtime(rows: DataFrame, runtime: dict[str, str] | None = None) -> DataFrame:
+    """Constant columns with facts of the runtime, as a verbose view has them."""
+    return rows.withColumns({k: F.lit(v) for k, v in (runtime or {}).items()})
+
+
+def limited(rows: DataFrame, setting: str | None, *order: str) -> DataFrame:
+    """The first rows by a limit given as text (of the environment): none given is all, else a number from 0."""
+    if setting is None:
+        return rows
+    if not setting.strip().isdigit():
+        raise ValueError("the limit is a whole number, 0 or more")
+    return rows.orderBy(*order).limit(int(setting))
+
+
 def entry(command: Column, params: Column, timestamp: Column, success: Column, return_code: Column, duration_ms: Column) -> list[Column]:
     """The columns of a well-formed entry, with defaults for what is null."""
     return [

@@ -19,10 +19,18 @@ def upsert(store: DataFrame, changes: DataFrame) -> DataFrame:
     return last_by_key(both)
 
 
-def delete(store: DataFrame, keys: DataFrame) -> DataFrame:
+def delete(store: DataFrame, keys: DataFrame, strict: bool = False) -> DataFrame:
+    """The store without the keys; ``strict``: raises where one isn't there."""
+    if strict and not keys.select("key").join(store, "key", "left_anti").isEmpty():
+        raise KeyError("a key is not there")
     return store.join(keys.select("key"), "key", "left_anti")
 
 
+def replaced(pairs: DataFrame) -> DataFrame:
+    """A whole new store: every value as text."""
+    return pairs.select("key", F.coalesce(F.col("value").cast("string"), F.lit("None")).alias("value"))
+
+
 def overlay(file: DataFrame, env: DataFrame) -> DataFrame:
     """key, value and, where only the file has it as true or false, its boolean; the environment wins."""
     f = file.select("key", F.col("value").alias("in_file"))

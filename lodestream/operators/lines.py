@@ -12,11 +12,15 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def segments(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row per command of a text: lines, parted at semicolons outside quotes, trimmed, not empty."""
+    """One row per command of a text: lines, parted at semicolons outside quotes, trimmed, not empty.
+
+    Lines and parts that begin with ``#`` are comments; a line that begins with a semicolon is no command.
+    """
     lines = df.select(*keep, F.posexplode(F.split(strip_ansi(F.col(text)), LINE_END)).alias("line", "content"))
+    lines = lines.where(~F.col("content").rlike(r"(?U)^\s*[#;]"))
     parts = lines.select(*keep, "line", F.posexplode(split_unquoted(F.col("content"))).alias("part", "segment"))
     trimmed = F.regexp_replace("segment", r"(?U)^\s+|\s+\z", "")
-    return parts.withColumn("segment", trimmed).where("segment <> ''")
+    return parts.withColumn("segment", trimmed).where("segment <> '' AND NOT startswith(segment, '#')")
 
 
 def tree_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Named functions and lifecycle hooks of a session."""
+"""Named functions of a session, alone or in groups."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ class FunctionRegistry:
         self.spark = spark
         self.functions: dict[str, Callable] = {}
         self.aliases: dict[str, str] = {}
+        self.groups: dict[tuple[str, str], list[str]] = {}
 
     def register(self, name: str, function: Callable, alias: str | None = None, return_type: str = "string") -> None:
         if name in self.functions or name in self.aliases or function in self.functions.values():
@@ -24,11 +25,24 @@ class FunctionRegistry:
         if hasattr(function, "evalType"):  # a user-defined function has its type
             self.spark.udf.register(name, function)
         else:
-            self.spark.udf.register(name, function, return_type)
+            self.spark.udf.register(name, F.udf(function, return_type, useArrow=True))
         self.functions[name] = function
         if alias:
             self.aliases[alias] = name
 
+    def group(self, name: str, version: str = "") -> Callable[..., Callable[[Callable], Callable]]:
+        """A decorator for the functions of a group: ``@group("sub")`` registers one as ``name_sub``."""
+
+        def member(sub: str, return_type: str = "string", alias: str | None = None) -> Callable[[Callable], Callable]:
+            def take(function: Callable) -> Callable:
+                self.register(f"{name}_{sub}", function, alias, return_type)
+                self.groups.setdefault((name, version), []).append(sub)
+                return function
+
+            return take
+
+        return member
+
     def resolve(self, name: str) -> str:
         name = self.aliases.get(name, name)
         if name not in self.functions:

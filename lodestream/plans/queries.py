@@ -683,3 +683,124 @@ def registered_function(spark, sf_dir):
 @query("SELECT DISTINCT c_mktsegment AS choice FROM customer WHERE starts_with(lower(c_mktsegment), 'b')")
 def completion_choices(spark, sf_dir):
     return choices(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "choice"), "choice", "B", case_sensitive=False)
+
+
+# --- imports with retention, listings, names and sets
+
+
+@query(
+    """WITH two AS (SELECT event_id AS _pos, event_type AS command FROM events
+        UNION ALL SELECT o_orderkey + (SELECT max(event_id) FROM events) + 1, o_orderpriority FROM orders)
+    SELECT _pos, command FROM two ORDER BY _pos DESC LIMIT 10000"""
+)
+def append_import_capped(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_pos"), F.col("o_orderpriority").alias("command"))
+    return log(spark, sf_dir).append_import(eventlog.EventLog(orders)).df.select("_pos", "command")
+
+
+@query("SELECT event_id AS _pos, event_type AS command, CAST(7.5 AS DOUBLE) AS timestamp FROM events ORDER BY event_id DESC LIMIT 1000")
+def replace_import(spark, sf_dir):
+    """An import that replaces the log: the times are new."""
+    kept = LogStore(spark, new_path(spark, "replaced-log"), "_pos bigint, command string, timestamp double")
+    kept.replace_import(log(spark, sf_dir).df.select("_pos", "command", "timestamp"), 7.5)
+    return kept.refresh()
+
+
+@query(
+    f"""SELECT 'x' AS python, string_agg(concat(_pos, ':', command), ',' ORDER BY _pos) AS entries
+    FROM (SELECT * FROM ({LOG}) ORDER BY _pos DESC LIMIT 20)"""
+)
+def wrapped_entries(spark, sf_dir):
+    view = eventlog.wrapped(log(spark, sf_dir).tail(20).df.select("_pos", "command"), {"python": "x"})
+    return view.select("python", F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["_pos"], e["command"])), ",").alias("entries"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name LIMIT 7")
+def limited_listing(spark, sf_dir):
+    return eventlog.limited(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "7", "n_name")
+
+
+@query(
+    """SELECT event_id, line, segment FROM (
+        SELECT event_id, 0 AS line, 0 AS at, concat('run ', event_type) AS segment FROM events WHERE event_id % 3 = 0
+        UNION ALL SELECT event_id, 0, 1, concat('say "', event_id, '; # x"') FROM events WHERE event_id % 3 = 0
+        UNION ALL SELECT event_id, 2, 0, 'last' FROM events)"""
+)
+def segments_with_comments(spark, sf_dir):
+    """Lines with comments, empty parts, quoted separators and a leading separator."""
+    first = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" run "), "event_type", F.lit(';; # note ; say "'), "event_id", F.lit('; # x"'))).otherwise(F.lit("  # all of it; a comment"))
+    text = F.concat(first, F.lit("\n;no command\r\n\tlast ;\n\n"))
+    found = lines.segments(table(spark, sf_dir, "events").withColumn("text", text), "text", "event_id")
+    return found.select("event_id", F.col("line").cast("int"), "segment")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS name, c_custkey % 2 = 0 AS overlap, CASE c_custkey % 4 WHEN 0 THEN 'healthy' WHEN 1 THEN 'degraded' ELSE 'unhealthy' END AS state FROM customer")
+def names_flags_states(spark, sf_dir):
+    n = F.col("c_custkey")
+    raw = F.when(n % 3 == 0, F.when(n % 2 == 0, " \t").otherwise(F.repeat(F.lit("x"), 101))).otherwise(F.concat(F.lit("\t "), "c_name", F.lit("\n")))
+    flags = F.array(F.lit("-q"), F.when(n % 2 == 0, "-f").otherwise("-v"))
+    told = F.when(n % 4 == 0, "Healthy").when(n % 4 == 1, "DEGRADED").when(n % 4 == 2, "down")
+    return table(spark, sf_dir, "customer").select(
+        n, T.item_name(raw).alias("name"), P.flags_overlap(flags, F.array(F.lit("-f"), F.lit("-x"))).alias("overlap"), P.health_of(told).alias("state")
+    )
+
+
+@query("SELECT c_custkey, c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AS is_key, c_custkey % 2 = 0 AS same_name, c_custkey % 3 = 0 AS same_composed FROM customer")
+def names_and_keys(spark, sf_dir):
+    n, name = F.col("c_custkey"), F.col("c_name")
+    key = F.when(n % 5 == 0, F.concat(name, F.lit("\x07"))).when(n % 7 == 0, F.concat(name, F.lit(" b"))).otherwise(F.concat(name, F.lit("é")))
+    other = F.when(n % 2 == 0, F.upper(name)).otherwise(F.concat(name, F.lit("x")))
+    composed = F.when(n % 3 == 0, F.lit("é")).otherwise(F.lit("e"))
+    return table(spark, sf_dir, "customer").select(
+        n, P.is_memory_key(key).alias("is_key"), P.same_name(name, other).alias("same_name"), P.same_composed(F.lit("é"), composed).alias("same_composed")
+    )
+
+
+@query(r"""SELECT event_id, concat('a"b', chr(10), chr(9), 'é', event_type) AS plain FROM events""")
+def fn_unescape_escapes(spark, sf_dir):
+    coded = F.concat(F.lit(r"a\"b\n\t\xe9"), "event_type")
+    return table(spark, sf_dir, "events").select("event_id", T.unescape(coded).alias("plain"))
+
+
+@query(
+    """WITH left_ AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS description FROM customer WHERE c_custkey <> (SELECT max(c_custkey) FROM customer))
+    SELECT * FROM left_ UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY r_name), r_name, NULL FROM region"""
+)
+def items_insert_after_delete(spark, sf_dir):
+    """The id of the deleted last row isn't given out again."""
+    items = customers(spark, sf_dir)
+    last = items.agg(F.max("id")).first()[0]
+    left = collection.delete(items, spark.createDataFrame([(last,)], "id bigint"))
+    return collection.insert(left, table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit(None).cast("string").alias("description")), last)
+
+
+@query("SELECT lower(r_name) AS key, concat('v', r_regionkey) AS value FROM region")
+def scan_environment(spark, sf_dir):
+    names = {f"APP_{r.r_name}": f"v{r.r_regionkey}" for r in table(spark, sf_dir, "region").limit(100).collect()}  # a table of fixed size
+    return records.read_environment(spark, names | {"OTHER": "x"}, "APP_")
+
+
+@query("SELECT row_number() OVER (ORDER BY r_regionkey) AS id, r_name AS name, 'd' AS description FROM region")
+def scan_items(spark, sf_dir):
+    names = [(r.r_name, "d") for r in table(spark, sf_dir, "region").orderBy("r_regionkey").limit(100).collect()]  # a table of fixed size
+    return records.items(spark, names)
+
+
+@query("SELECT n_name AS name, n_regionkey AS region FROM nation")
+def scan_yaml(spark, sf_dir):
+    """A YAML file of a mapping of lists."""
+    doc = table(spark, sf_dir, "nation").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("- name: "), "n_name", F.lit("\n  region: "), "n_regionkey"))), "\n").alias("value"))
+    path = _as_file(doc.select(F.concat(F.lit("nations:\n"), "value").alias("value")), "yaml")
+    rows = records.read_yaml(spark, path).select(F.explode(F.expr("variant_get(parsed, '$.nations', 'array<struct<name:string,region:int>>')")).alias("x"))
+    return rows.select("x.name", "x.region")
+
+
+@query("SELECT lower(n_name) AS key FROM nation")
+def kv_keys_in_any_case(spark, sf_dir):
+    return keyvalue.listed(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key")), ignore_case=True)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_regionkey = 0 THEN 'None' ELSE CAST(n_regionkey AS VARCHAR) END AS value FROM nation")
+def kv_replaced(spark, sf_dir):
+    pairs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.when(F.col("n_regionkey") != 0, F.col("n_regionkey")).alias("value"))
+    return keyvalue.replaced(pairs)

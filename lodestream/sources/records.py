@@ -14,14 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import ascii_clean, ascii_safe, normalise_key, split_key_value, strip_quotes, unescape
+from ..functions.text import ascii_clean, ascii_safe, normalise_key, split_key_value, strip_quotes, stripped, unescape
 from ..schema import KEY_VALUE, PLUGIN
 
 
-class BadRecords(ValueError):
-    """A file that isn't what its reader takes."""
-
-
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: value, parsed (null if it isn't JSON); no row for missing or empty files."""
     try:
@@ -106,17 +102,20 @@ def dotenv(lines: DataFrame, prefix: str = "") -> DataFrame:
     Blank lines and comments are passed over; a line without ``=`` or beyond ASCII raises with
     its number.
     """
-    text = F.trim(F.col("value"))
+    text = stripped(F.col("value"))
     used = lines.where((text != "") & ~text.startswith("#"))
     bad = F.concat(F.lit("line "), (F.col("_pos") + 1).cast("string"), F.lit(": not KEY=VALUE in ASCII"))
     good = F.when(text.contains("=") & F.col("value").rlike(r"^[\x00-\x7F]*\z"), text).otherwise(F.raise_error(bad).cast("string"))
     key, value = split_key_value(good)
-    rows = used.select("_pos", normalise_key(key, prefix).alias("key"), strip_quotes(unescape(value)).alias("value"))
+    malformed = F.concat(F.lit("line "), (F.col("_pos") + 1).cast("string"), F.lit(": malformed escape"))
+    plain = unescape(value)
+    plain = F.when(value.isNotNull() & plain.isNull(), F.raise_error(malformed).cast("string")).otherwise(plain)
+    rows = used.select("_pos", normalise_key(key, prefix).alias("key"), strip_quotes(plain).alias("value"))
     return rows.groupBy("key").agg(F.max_by("value", "_pos").alias("value"))
 
 
 def read_dotenv(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """As :func:`dotenv`. Spark's readers pass over names that begin with a dot, so the one file is opened here."""
+    """As :func:`dotenv`, for files that fit the driver. Spark's readers pass over names that begin with a dot, so the one file is opened here."""
     file = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
     try:

@@ -53,6 +53,19 @@ def write_all(df: DataFrame, paths: list[str], kind: str = "parquet") -> None:
         df.unpersist()
 
 
+def emit(df: DataFrame, path: str | None = None, level: str = "info", quiet: bool = False, pretty: bool = False) -> None:
+    """The rows as JSON lines to a folder or, by :meth:`DataFrame.show`'s way over the driver, to the
+    console; ``quiet`` lets errors alone pass."""
+    if quiet and level not in ("error", "critical"):
+        return
+    text = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"} | ({"pretty": "true"} if pretty else {})).alias("value"))
+    if path is not None:
+        text.write.mode("errorifexists").text(path)
+        return
+    for row in text.toLocalIterator():
+        print(row.value)
+
+
 def discard(df: DataFrame) -> None:
     """Compute all rows and keep none."""
     df.write.format("noop").mode("overwrite").save()

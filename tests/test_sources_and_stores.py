@@ -225,3 +225,76 @@ def test_registry(spark):
         registry.call("twice", F.col("id"))
     rows = spark.createDataFrame([("Alpha",), ("beta",), ("alpine",)], "v string")
     assert {r.v for r in choices(rows, "v", "al", case_sensitive=False).collect()} == {"Alpha", "alpine"}
+
+
+def test_of_two_writers_of_a_version_one_wins(spark, tmp_path):
+    from lodestream.plans.stores import VersionedStore
+
+    store = VersionedStore(spark, f"file://{tmp_path}/raced", "id bigint")
+    other = VersionedStore(spark, f"file://{tmp_path}/raced", "id bigint")
+    mark = store._marked
+
+    def late(number, folder):
+        other.write(spark.range(2))  # between this writer's look and its marker
+        return mark(number, folder)
+
+    store._marked = late
+    with pytest.raises(RuntimeError):
+        store.write(spark.range(1))
+    assert store.version() == 1 and store.read().count() == 2
+    with pytest.raises(FileNotFoundError):
+        VersionedStore(spark, f"file://{tmp_path}/never", "id bigint").refresh()
+
+
+def test_updates_check_ids_and_names(spark):
+    from lodestream.operators import collection, keyvalue
+
+    items = spark.createDataFrame([(1, "a", None), (2, "b", None)], "id bigint, name string, description string")
+    for rows, error in (([(1, "b", "x")], ValueError), ([(3, "c", "x")], KeyError), ([(1, "c", "x"), (1, "d", "x")], ValueError)):
+        with pytest.raises(error):
+            collection.update(items, spark.createDataFrame(rows, items.schema))
+    got = collection.update(items, spark.createDataFrame([(1, "a", "x"), (2, "c", "y")], items.schema))
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "x"), (2, "c", "y")]
+    with pytest.raises(KeyError):
+        keyvalue.delete(items.selectExpr("name AS key", "description AS value"), spark.createDataFrame([("z",)], "key string"), strict=True)
+
+
+def test_malformed_escapes_raise_with_their_line_and_tabs_are_space(spark):
+    from lodestream.sources import records
+
+    lines = spark.createDataFrame([(0, "\t# note"), (1, "\tA =1\t")], "_pos bigint, value string")
+    assert [tuple(r) for r in records.dotenv(lines).collect()] == [("a", "1")]
+    with pytest.raises(Exception, match="line 3"):
+        records.dotenv(spark.createDataFrame([(2, "B=\\x")], "_pos bigint, value string")).collect()
+
+
+def test_separators_and_quotes_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from lodestream.functions.text import split_unquoted
+
+    cases = {"a;b": ["a", "b"], "a;'b;c';d": ["a", "'b;c'", "d"], "a;\"b'\";c'd;e'": ["a", "\"b'\"", "c'd;e'"], "a;b \"c": ['a;b "c'], 'a "b;c': ['a "b', "c"], "": [""], ";": ["", ""]}
+    df = spark.createDataFrame([(k,) for k in cases] + [("x;'y';" * 20000,)], "t string")
+    got = {r.t: r.p for r in df.select("t", split_unquoted(F.col("t")).alias("p")).collect()}
+    assert {k: got[k] for k in cases} == cases and len(got["x;'y';" * 20000]) == 40001
+
+
+def test_groups_of_functions_and_emitted_rows(spark, tmp_path, capsys):
+    from pyspark.sql import functions as F
+
+    from lodestream.operators.registry import FunctionRegistry
+    from lodestream.sources import sinks
+
+    names = FunctionRegistry(spark)
+
+    @names.group("lode", version="1")("twice", "bigint")
+    def twice(n):
+        return 2 * n
+
+    df = spark.range(3).select(names.call("lode_twice", F.col("id")).alias("n"))
+    assert [r.n for r in df.collect()] == [0, 2, 4] and names.groups == {("lode", "1"): ["twice"]}
+    sinks.emit(df.orderBy("n"))
+    sinks.emit(df, quiet=True)
+    assert capsys.readouterr().out.split() == ['{"n":0}', '{"n":2}', '{"n":4}']
+    sinks.emit(df, f"{tmp_path}/emitted")
+    assert spark.read.json(f"{tmp_path}/emitted").count() == 3
