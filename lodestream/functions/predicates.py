@@ -24,6 +24,9 @@ def has_prefix(text: Column, prefix: str, case_sensitive: bool = True) -> Column
     return text.startswith(prefix) if case_sensitive else F.lower(text).startswith(prefix.lower())
 
 
+# The patterns of config keys, plugin names, versions and env lines are fixed values.
+
+
 def is_config_key(key: Column) -> Column:
     return key.rlike(r"^[A-Za-z0-9_]+\z")
 
