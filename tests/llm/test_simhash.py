@@ -150,3 +150,23 @@ def test_long_lists_give_the_same_components(spark):
     a = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
     b = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, longest_list=2).collect()}
     assert a == b == dict(zip(range(60), brute([simhash.fingerprint(t) for _, t in rows]), strict=True))
+
+
+def test_components_of_chains_cycles_hubs_and_ready_stars(spark, monkeypatch):
+    chain = [(k, k + 1) for k in range(100, 140)]
+    cycle = [(200 + k, 200 + (k + 7) % 20) for k in range(20)]
+    hub = [(900, k) for k in range(300, 360)]
+    links = chain + cycle + hub + [(139, 900), (5, 5), (None, 7), (8, None), (101, 100)]
+    want: dict[int, int] = {}
+    for a, b in links:
+        if a is not None and b is not None:
+            a, b = sorted((want.setdefault(a, a), want.setdefault(b, b)))
+            want = {n: a if r == b else r for n, r in want.items()}
+    got = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert {r.node: r.root for r in got} == {n: r for n, r in want.items() if n != r}
+    assert len(got) == len({r.node for r in got})
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    # links that are stars already need no step
+    monkeypatch.setattr("lodestream.llm.components._least", None)
+    stars = components(spark.createDataFrame([(1, 9), (8, 1), (3, 2), (8, 1)], "a bigint, b bigint"))
+    assert {(r.node, r.root) for r in stars.collect()} == {(9, 1), (8, 1), (3, 2)}
