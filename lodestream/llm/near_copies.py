@@ -1,21 +1,25 @@
-"""Near copies by the similarity of word shingles, for the pipeline's SimHash stage.
+"""Near copies by SimHash for the pipeline: byte-position index, count filter, verification.
 
 Two texts are near copies where the sets of their five-word shingles have a Jaccard similarity
-of 0.8 or more. At that similarity SimHash fingerprints differ in about ten of 64 bits, and an
-index of so wide a radius isn't selective: any byte position of it lists a fixed share of the
-corpus. So fingerprints are the filter here and not the index:
-
-1. Each text has its SimHash fingerprint, ``BANDS`` keys of ``ROWS`` least shingle hashes each,
-   and one bit of each of these least hashes. Equal shingle sets are one class.
-2. Classes that share a key meet. Each is first a candidate with the least member of its lists
-   alone, which joins large groups of near copies with work in proportion to their size; then
-   with the least members of its other lists, as far as it isn't joined with them; and only
-   members of a list that are then still in different components meet each other.
-3. Candidates whose bits or fingerprints are too far apart go; the rest is decided by the shingle
-   sets themselves.
+of 0.8 or more. Fingerprints of such a pair differ in 15 % of their bits, so the radius of three
+of 64 bits of ``simhash`` finds few of them. Here the fingerprint has ``BITS`` bits, which are
+``POSITIONS`` positional bytes:
+
+1. Each text has its fingerprint and its steadiest positions: a bit whose shingles are far from
+   a tie is hardly ever another one in a near copy, so of each part of the positions the
+   ``LISTED`` bytes with the best chance to be kept are indexed. Equal shingle sets are one class.
+2. The index lists groups of positions with their bytes, as in ``simhash``: single bytes have
+   lists that grow with the square of the corpus. Its coarse lists (three of the four steadiest
+   bytes of a part) join large groups of near copies with work in proportion to their size:
+   each class is first a candidate with the least member of its lists alone, then with the least
+   members of its other lists, as far as it isn't joined with them. The fine lists (two of the
+   ``LISTED`` bytes of a part) then hold all pairs that are still in different components;
+   only pairs of like size whose first fingerprint words are near leave that join.
+3. The count filter: pairs that share too few of the positional bytes or differ in too many bits
+   go; the rest is verified by the shingle sets themselves.
 4. Components of the links that hold.
 
-A pair of similarity 0.8 shares a key with probability 0.999, a more similar one with more.
+A pair of similarity 0.8 shares a fine list with probability 0.999, a more similar one with more.
 
 Defined results: a null, empty or blank text has no shingles, and all such are copies of one
 another; a text of fewer words than a shingle has all its words as the only one; of each
@@ -27,6 +31,8 @@ read, and may have any names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import erfc, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +47,31 @@ from .quality import ODD, Block, _blocks, _mixed
 SHINGLE = 5
 #: Least similarity, as a fraction.
 SIMILAR = (4, 5)
-BANDS, ROWS = 24, 6
-#: Of the BANDS * ROWS bits of the least hashes a pair of similarity 0.8 differs in 14 on average, with deviation 3.6.
-MOST_OTHER_BITS = 30
-#: Bits in which the fingerprints of such a pair may differ; they differ in ten on average.
-MOST_BITS = 26
-#: Shingles of a text from which its fingerprint is steady enough to be a filter.
+BITS, WORD = 1024, 64
+WORDS, POSITIONS = BITS // WORD, BITS // 8
+#: Positions are dealt to so many parts, each of which has lists of its own.
+PARTS = 8
+#: Steadiest positions of a part in the fine and in the coarse lists.
+LISTED, COARSE = 7, 4
+#: Positions of a list: two of LISTED, three of COARSE.
+FINE_GROUP, COARSE_GROUP = 2, 3
+#: A pair of similarity 0.8 differs in 155 bits on average, with deviation 11.5, and shares 34 bytes, with deviation 5.
+MOST_BITS, LEAST_BYTES = 203, 15
+#: The same for texts of less than STEADY shingles: with four and five it differs in 192 bits and shares 24 bytes.
+MOST_BITS_SHORT, LEAST_BYTES_SHORT = 260, 8
 STEADY = 64
+#: Bits in which the first words may differ; they differ in ten on average, in 12 for four and five shingles.
+MOST_WORD_BITS = 22
 LAST = (1 << 63) - 1
+#: Shingles whose bits are added up at once in bytes.
+RUN = 255
+#: Texts whose bits are weighed at once.
+TEXTS = 512
 
-_FACTORS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_SALTS = _mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
+_COSINE = 2 * SIMILAR[0] / sum(SIMILAR)
+#: By hundredths of a bit's distance from a tie, in deviations: the log of its chance to be the same in a pair of similarity 0.8.
+_KEPT = np.array([log(1 - erfc(_COSINE / sqrt(1 - _COSINE**2) * k / 100 / sqrt(2)) / 2) for k in range(601)])
 
 
 def shingle_sets(texts: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -75,30 +96,38 @@ def shingle_sets(texts: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray,
     return grams, np.searchsorted(text, np.arange(block.n + 1))
 
 
-def sketches(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
-    """set_hash, size, fp, keys (a row per text), one bit of each least hash (as longs, a row per text); no keys without shingles."""
+def _fingerprints(grams: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, which has shingles: the positional bytes, the steadiest positions of each part in order."""
+    n, size = len(starts) - 1, np.diff(starts)
+    ones = np.zeros((n, BITS), np.int64)
+    for k in range(n):
+        for at in range(starts[k], starts[k + 1], RUN):
+            told = _mixed(grams[at : min(at + RUN, starts[k + 1]), None] + _SALTS)
+            ones[k] += np.unpackbits(told.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    away = 2 * ones - size[:, None]
+    hundredths = np.minimum(np.abs(away) * (100 / np.sqrt(size))[:, None], len(_KEPT) - 1).astype(np.int64)
+    chance = _KEPT[hundredths].reshape(n, POSITIONS // PARTS, PARTS, 8).sum(axis=3)
+    steady = np.argsort(-chance, axis=1, kind="stable")[:, :LISTED].transpose(0, 2, 1) * PARTS + np.arange(PARTS)[:, None]
+    return np.packbits((away > 0).astype(np.uint8), axis=1, bitorder="little"), steady.reshape(n, -1).astype(np.uint8)
+
+
+def sketches(texts: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """set_hash, size, fingerprint (longs), steadiest positions (bytes), a row per text; zeros without shingles."""
     grams, starts = shingle_sets(texts, shingle)
     size = np.diff(starts)
     some, n = np.flatnonzero(size), len(texts)
-    set_hash, fp = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    keys, least = np.zeros((n, BANDS), np.uint64), np.zeros((n, BANDS * ROWS), np.uint64)
+    set_hash, told, steady = np.zeros(n, np.uint64), np.zeros((n, POSITIONS), np.uint8), np.zeros((n, PARTS * LISTED), np.uint8)
     if len(some):
         at = starts[:-1][some]
         set_hash[some] = _mixed(np.add.reduceat(_mixed(grams + ODD), at) + size[some].astype(np.uint64))
-        bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-        fp[some] = np.packbits((2 * ones > size[some][:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
-        for k, factor in enumerate(_FACTORS):
-            least[some, k] = np.minimum.reduceat(grams * factor, at)
-        for k in range(ROWS):
-            keys = keys * ODD + least[:, k::ROWS]
-        keys = _mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64))
-    told = np.zeros((n, 8 * (-(-BANDS * ROWS // 64))), np.uint8)
-    told[:, : BANDS * ROWS // 8] = np.packbits((_mixed(least) >> np.uint64(63)).astype(np.uint8), axis=1)
-    return [set_hash, size, fp, keys, told.view("<u8")]
+        ends = np.append(at, len(grams))
+        for k in range(0, len(some), TEXTS):
+            part = some[k : k + TEXTS]
+            told[part], steady[part] = _fingerprints(grams, ends[k : k + len(part) + 1])
+    return set_hash, size, told.view("<i8"), steady
 
 
-SKETCH = "doc_id bigint, text_hash bigint, set_hash bigint, size bigint, fp bigint, keys array<bigint>, bits array<bigint>"
+SKETCH = "doc_id bigint, text_hash bigint, set_hash bigint, size bigint, bits array<bigint>, steady binary"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -111,27 +140,62 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in batches:
             at = 0
             for texts in _blocks(t.as_py() for t in batch.column("text")):
-                set_hash, size, fp, keys, told = sketches(texts, shingle)
+                set_hash, size, told, steady = sketches(texts, shingle)
                 own = [batch.column(c).slice(at, len(texts)) for c in ("doc_id", "text_hash")]
                 at += len(texts)
-                arrays = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (set_hash, size, fp)]
-                listed = np.where(size > 0, keys.shape[1], 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(listed)]).astype(np.int32)), pa.array(keys[size > 0].ravel().view(np.int64)))
-                spans = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * told.shape[1])
-                arrays += [lists, pa.ListArray.from_arrays(spans, pa.array(told.ravel().view(np.int64)))]
+                arrays = [pa.array(set_hash.view(np.int64)), pa.array(size.astype(np.int64))]
+                spans = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * WORDS)
+                arrays += [pa.ListArray.from_arrays(spans, pa.array(told.ravel())), pa.array([row.tobytes() for row in steady], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*own, *arrays], [c.split()[0] for c in SKETCH.split(", ")])
 
     return _rows(docs).mapInArrow(make, SKETCH)
 
 
-def _alike(a: str, b: str) -> Column:
-    """What the sketches of a pair must have in common before its shingle sets are compared."""
+def postings(sketch: DataFrame, most: int, group: int) -> DataFrame:
+    """key, node, size, fp (the first word of the fingerprint) and root of each list of a class: all
+    groups of so many positions among the ``most`` steadiest of a part, with their bytes."""
+    places = np.array(list(combinations(range(most), group)))
+    schema = "key bigint, node bigint, size bigint, fp bigint, root bigint"
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), TEXTS):
+                batch = whole.slice(at, TEXTS)
+                n = len(batch)
+                words = batch.column("bits").flatten().to_numpy().reshape(n, WORDS)
+                steady = np.frombuffer(b"".join(batch.column("steady").to_pylist()), np.uint8).reshape(n, PARTS, LISTED)
+                chosen = np.sort(steady[:, :, :most], axis=2).astype(np.int64)
+                held = np.take_along_axis(words.view(np.uint8).reshape(n, 1, POSITIONS), chosen, axis=2)
+                byte, key = chosen << 8 | held, np.zeros((n, PARTS, len(places)), np.int64)
+                for k in range(group):
+                    key = key << 15 | byte[:, :, places[:, k]]
+                row = pa.array(np.repeat(np.arange(n), PARTS * len(places)))
+                own = [batch.column("node"), batch.column("size"), pa.array(words[:, 0]), batch.column("root")]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[c.take(row) for c in own]], [c.split()[0] for c in schema.split(", ")])
+
+    return sketch.where("size > 0").select("node", "size", "bits", "steady", "root").mapInArrow(make, schema)
+
+
+def _like_size(a: str, b: str) -> Column:
     many, of = SIMILAR
-    sizes = (of * F.col(f"{a}.size") >= many * F.col(f"{b}.size")) & (of * F.col(f"{b}.size") >= many * F.col(f"{a}.size"))
-    near = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= MOST_BITS
+    return (of * F.col(f"{a}.size") >= many * F.col(f"{b}.size")) & (of * F.col(f"{b}.size") >= many * F.col(f"{a}.size"))
+
+
+def _other_bytes(differ: Column) -> Column:
+    """In how many of its eight bytes a word isn't zero."""
+    for k in (4, 2, 1):
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, k))
+    return F.bit_count(differ.bitwiseAND(F.lit(0x0101010101010101)))
+
+
+def _alike(a: str, b: str) -> Column:
+    """The count filter: the positional bytes and the bits that the fingerprints of a pair must share."""
+    differ = [F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]) for k in range(WORDS)]
+    bits, other = ([told(d) for d in differ] for told in (F.bit_count, _other_bytes))
     steady = F.least(F.col(f"{a}.size"), F.col(f"{b}.size")) >= STEADY
-    other = [F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(-(-BANDS * ROWS // 64))]
-    return sizes & (~steady | near) & (sum(other[1:], other[0]) <= MOST_OTHER_BITS)
+    few = sum(bits[1:], bits[0]) <= F.when(steady, MOST_BITS).otherwise(MOST_BITS_SHORT)
+    many = POSITIONS - sum(other[1:], other[0]) >= F.when(steady, LEAST_BYTES).otherwise(LEAST_BYTES_SHORT)
+    return _like_size(a, b) & many & few
 
 
 def _similar(a: str, b: str) -> Column:
@@ -174,13 +238,13 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = prints.groupBy("set_hash").agg(
         F.min("doc_id").alias("rep_id"),
         F.min_by("text_hash", first).alias("rep_hash"),
-        *[F.first(c).alias(c) for c in ("size", "fp", "keys", "bits")],
+        *[F.first(c).alias(c) for c in ("size", "bits", "steady")],
     )
     classes = written(classes, "shingle-classes")
-    listed = classes.select(F.col("set_hash").alias("node"), F.explode("keys").alias("key"))
+    sketch = classes.select(F.col("set_hash").alias("node"), "size", "bits", "steady")
+    listed = postings(sketch.withColumn("root", F.lit(None).cast("bigint")), COARSE, COARSE_GROUP).select("key", "node")
     hubs = written(listed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
     shared = written(listed.join(hubs.hint("merge"), "key").select("key", "node", "hub"), "shared-keys")
-    sketch = classes.select(F.col("set_hash").alias("node"), "size", "fp", "keys", "bits")
     comp = F.coalesce("root", "node")
 
     def joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -205,19 +269,15 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     pairs = written(pairs, "other-hubs")
     if not pairs.isEmpty():
         roots = linked(pairs, roots)
-    # members of a list that are still apart meet each other
-    placed = written(members(roots), "placed")
-    parted = placed.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("key")
-    left = written(placed.join(parted.hint("merge"), "key").select("key", "node", "comp"), "parted-lists")
-    if not left.isEmpty():
-        sets = _sets(docs, classes, left.select("node").distinct(), shingle)
-        own = written(sketch.join(sets.hint("merge"), "node"), "parted-sketches")
-        left = left.join(own.hint("merge"), "node")
-        # a pair is judged in its first common list, and only what holds leaves the join
-        first_key = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-        told = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _alike("x", "y") & first_key & _similar("x.hashes", "y.hashes")
-        more = left.alias("x").join(left.alias("y").hint("merge"), told).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        roots = joined(written(more, "more-links"), roots)
+    # what shares a fine list and is still apart
+    placed = postings(sketch.join(roots.hint("merge"), "node", "left"), LISTED, FINE_GROUP)
+    apart = F.coalesce("x.root", "x.node") < F.coalesce("y.root", "y.node")
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MOST_WORD_BITS
+    told = (F.col("x.key") == F.col("y.key")) & apart & _like_size("x", "y") & near
+    met = placed.alias("x").join(placed.alias("y").hint("merge"), told).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = written(met.distinct(), "fine-pairs")
+    if not pairs.isEmpty():
+        roots = linked(pairs, roots)
     rooted = classes.select(F.col("set_hash").alias("node")).join(roots.hint("merge"), "node", "left").select("node", comp.alias("component"))
     rooted = written(rooted, "rooted")
     return prints.select("doc_id", "text_hash", F.col("set_hash").alias("node")).join(rooted.hint("merge"), "node").select("doc_id", "text_hash", "component")

@@ -131,6 +131,48 @@ def test_near_copies_equal_brute_force(spark):
     assert near_copies.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_near_copies_meet_in_the_position_index_alone(spark, monkeypatch):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(words[:k] + ["x"] + words[k + 1 :])) for k in (5, 100, 200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert simhash.drop_near_copies(df).count() == 1
+    postings = near_copies.postings
+    monkeypatch.setattr(near_copies, "postings", lambda sketch, most, group: postings(sketch.limit(0), most, group))
+    assert simhash.drop_near_copies(df).count() == 3
+
+
+def test_position_lists_and_count_filter_by_definition(spark):
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(200):  # a pair of similarity 0.8
+        own = rng.choice(1 << 62, 100, replace=False).astype(np.uint64)
+        sets += [own[:90], np.concatenate([own[:80], own[90:]])]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    told, steady = near_copies._fingerprints(np.concatenate(sets), starts)
+    for k in (0, 77):  # every bit by its definition
+        words = near_copies._mixed(sets[k][:, None] + near_copies._SALTS)
+        ones = [sum(int(w) >> b & 1 for w in words[:, at].tolist()) for at in range(near_copies.WORDS) for b in range(64)]
+        assert np.unpackbits(told[k], bitorder="little").tolist() == [int(2 * n > len(sets[k])) for n in ones]
+    assert (steady.reshape(-1, near_copies.PARTS, near_copies.LISTED) % near_copies.PARTS == np.arange(near_copies.PARTS)[:, None]).all()
+    rows = [(k, 90, told[k].view("<i8").tolist(), bytearray(steady[k]), None) for k in range(len(sets))]
+    sketch = spark.createDataFrame(rows, "node bigint, size bigint, bits array<bigint>, steady binary, root bigint")
+    lists = {}
+    for r in near_copies.postings(sketch, near_copies.LISTED, near_copies.FINE_GROUP).collect():
+        lists.setdefault(r.node, set()).add(r.key)
+    for k in (0, 77):
+        parts = np.sort(steady[k].reshape(near_copies.PARTS, -1), axis=1).tolist()
+        want = {(p << 8 | int(told[k][p])) << 15 | q << 8 | int(told[k][q]) for part in parts for i, p in enumerate(part) for q in part[i + 1 :]}
+        assert lists[k] == want
+    # pairs of similarity 0.8 meet and pass, others don't pass
+    met = [k for k in range(0, len(sets), 2) if lists[k] & lists[k + 1]]
+    assert len(met) >= 198
+    x, y = sketch.alias("x"), sketch.alias("y")
+    passed = x.join(y, F.col("x.node") < F.col("y.node")).where(near_copies._alike("x", "y")).select("x.node", "y.node").collect()
+    assert sorted(map(tuple, passed)) == [(k, k + 1) for k in range(0, len(sets), 2)]
+    shared = sketch.select(near_copies._other_bytes(F.col("bits")[0]).alias("n")).collect()
+    assert [r.n for r in shared] == [int((told[k][:8] > 0).sum()) for k in range(len(sets))]
+
+
 def test_near_copies_of_odd_rows(spark):
     rows = [(1, None), (1, ""), (2, "one two three"), (2, "one two three"), (None, "one TWO three"), (None, "x"), (None, "x"), (3, "y " * 20000)]
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
