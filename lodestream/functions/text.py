@@ -2,7 +2,7 @@
 
 Everything is a built-in expression, but for what Spark has no expression for: Unicode
 normal forms, the escape grammar of Python strings and POSIX shell splitting are Arrow-batched
-pandas functions.
+Python functions.
 """
 
 from __future__ import annotations
@@ -13,12 +13,17 @@ import shlex
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 ESC = "\x1b"
 CONTROLS = {c: None for c in (*range(0x20), 0x7F)}
+#: A character that composes or is composed; none before the first combining mark does.
+COMPOSING = r"[^\x{0}-\x{2FF}]"
+#: Texts of a batch that are Python objects at once, at most.
+SLICE = 64
 
 
 @F.pandas_udf(StringType())
@@ -33,10 +38,22 @@ def ascii_clean(texts: pd.Series) -> pd.Series:
     return texts.map(clean, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Canonical composition (NFC)."""
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+@F.arrow_udf(StringType())
+def _recomposed(texts: pa.Array) -> pa.Array:
+    """The composition of each text that isn't composed yet, else null."""
+
+    def recomposed(text: pa.StringScalar) -> str | None:
+        own = text.as_py()
+        return None if own is None or unicodedata.is_normalized("NFC", own) else unicodedata.normalize("NFC", own)
+
+    parts = [pa.array(map(recomposed, texts.slice(k, SLICE)), pa.string()) for k in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def nfc(text: Column | str) -> Column:
+    """Canonical composition (NFC). Python gets only texts that may need it, and gives back only those that did."""
+    own = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_recomposed(F.when(own.rlike(COMPOSING), own)), own)
 
 
 @F.pandas_udf(StringType())

@@ -208,6 +208,23 @@ def test_text_functions_on_odd_values(spark):
     assert one(P.satisfies(">=1")(x), "junk") is False
 
 
+def test_composition_gives_python_only_what_may_compose(spark):
+    import unicodedata
+
+    import pyarrow as pa
+
+    odd = ["e\u0301", "\u0301", "é", "\u1112\u1161\u11ab", "\u212b", "\U0001d15e", "a\u0323\u0307\u0301", "ё е\u0308", "\u02ff", "日本", "", "plain \x00 text", None]
+    texts = (odd * 20)[:-1] + [c + "\u0323\u0302" for c in map(chr, range(0x41, 0x250))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", T.nfc("text").alias("composed"), T.nfc(F.col("text")).alias("again"))
+    want = [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert [(r.composed, r.again) for r in rows.orderBy("n").collect()] == list(zip(want, want, strict=True))
+    # null for what is composed already, in slices
+    given = T._recomposed.func(pa.array(texts, pa.string())).to_pylist()
+    assert given == [w if w != t else None for t, w in zip(texts, want, strict=True)]
+    assert T._recomposed.func(pa.array([], pa.string())).to_pylist() == []
+    assert not spark.createDataFrame([("ÿ \u02ff",)], "text string").where(F.col("text").rlike(T.COMPOSING)).count()
+
+
 def test_segments(spark):
     df = spark.createDataFrame([(1, "a; b\n\x1b[1mc\x1b[0m ;'d;e'\r\n\n;")], "id int, text string")
     assert [r.segment for r in lines.segments(df, "text", "id").orderBy("line", "part").collect()] == ["a", "b", "c", "'d;e'"]
