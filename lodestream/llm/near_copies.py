@@ -9,12 +9,14 @@ of 64 bits of ``simhash`` finds few of them. Here the fingerprint has ``BITS`` b
    a tie is hardly ever another one in a near copy, so of each part of the positions the
    ``LISTED`` bytes with the best chance to be kept are indexed. Equal shingle sets are one class.
 2. The index lists groups of positions with their bytes, as in ``simhash``: single bytes have
-   lists that grow with the square of the corpus. Its coarse lists (three of the four steadiest
+   lists that grow with the square of the corpus. Its coarse lists (three of the ``COARSE`` steadiest
    bytes of a part) join large groups of near copies with work in proportion to their size:
    each class is first a candidate with the least member of its lists alone, then with the least
-   members of its other lists, as far as it isn't joined with them. The fine lists (two of the
-   ``LISTED`` bytes of a part) then hold all pairs that are still in different components;
-   only pairs of like size whose first fingerprint words are near leave that join.
+   members of its other lists, as far as it isn't joined with them. Those whose fingerprints are
+   akin belong to one region with it. The links of a region are found from the members' differences
+   (``variants``), not from pairs, since very many texts may be almost near copies of one another.
+   The fine lists (two of the ``LISTED`` bytes of a part) then hold all pairs that are in
+   different regions; only pairs of like size whose first fingerprint words are near leave that join.
 3. The count filter: pairs that share too few of the positional bytes or differ in too many bits
    go; the rest is verified by the shingle sets themselves.
 4. Components of the links that hold.
@@ -43,6 +45,7 @@ from .common import LOWER, whole_text, written
 from .components import components
 from .exact_dedup import without
 from .quality import ODD, Block, _blocks, _mixed
+from .variants import variant_pairs
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -52,7 +55,7 @@ WORDS, POSITIONS = BITS // WORD, BITS // 8
 #: Positions are dealt to so many parts, each of which has lists of its own.
 PARTS = 8
 #: Steadiest positions of a part in the fine and in the coarse lists.
-LISTED, COARSE = 7, 4
+LISTED, COARSE = 7, 5
 #: Positions of a list: two of LISTED, three of COARSE.
 FINE_GROUP, COARSE_GROUP = 2, 3
 #: A pair of similarity 0.8 differs in 155 bits on average, with deviation 11.5, and shares 34 bytes, with deviation 5.
@@ -62,6 +65,8 @@ MOST_BITS_SHORT, LEAST_BYTES_SHORT = 260, 8
 STEADY = 64
 #: Bits in which the first words may differ; they differ in ten on average, in 12 for four and five shingles.
 MOST_WORD_BITS = 22
+#: Texts of one region differ in so many bits at most; a pair of similarity 0.5 differs in 274 on average, strangers in 512.
+AKIN_BITS = 330
 LAST = (1 << 63) - 1
 #: Shingles whose bits are added up at once in bytes.
 RUN = 255
@@ -188,9 +193,19 @@ def _other_bytes(differ: Column) -> Column:
     return F.bit_count(differ.bitwiseAND(F.lit(0x0101010101010101)))
 
 
+def _differ(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]) for k in range(WORDS)]
+
+
+def _akin(a: str, b: str) -> Column:
+    """Whether two texts may belong to one region."""
+    bits = [F.bit_count(d) for d in _differ(a, b)]
+    return sum(bits[1:], bits[0]) <= AKIN_BITS
+
+
 def _alike(a: str, b: str) -> Column:
     """The count filter: the positional bytes and the bits that the fingerprints of a pair must share."""
-    differ = [F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]) for k in range(WORDS)]
+    differ = _differ(a, b)
     bits, other = ([told(d) for d in differ] for told in (F.bit_count, _other_bytes))
     steady = F.least(F.col(f"{a}.size"), F.col(f"{b}.size")) >= STEADY
     few = sum(bits[1:], bits[0]) <= F.when(steady, MOST_BITS).otherwise(MOST_BITS_SHORT)
@@ -223,14 +238,17 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int) -
     return written(sets.dropDuplicates(["node"]), "distinct-sets")  # rows may repeat id and text
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+def _holding(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar."""
-    sets = _sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
     left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in ("a", "b"))
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     return written(met.where(_similar("a_hashes", "b_hashes")).select("a", "b"), "near-links")
 
 
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    return _holding(pairs, _sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle))
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, component (the least class of it) of every row."""
     prints = written(sketched(docs, shingle), "sketches")
@@ -251,33 +269,45 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         """What the links join beyond what is joined already."""
         return components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    def linked(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """The same for those of ``pairs`` that hold."""
+    def linked(pairs: DataFrame, roots: DataFrame | None, akin: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """The same for those of ``pairs`` that hold; and the pairs that are ``akin`` or pass the count filter."""
         met = pairs.join(sketch.alias("x").hint("merge"), F.col("a") == F.col("x.node")).join(sketch.alias("y").hint("merge"), F.col("b") == F.col("y.node"))
-        return joined(_links(docs, classes, written(met.where(_alike("x", "y")).select("a", "b"), "candidates"), shingle), roots)
+        alike = _alike("x", "y")
+        near = written(met.where(alike if akin is None else alike | akin).select("a", "b", alike.alias("alike")), "candidates")
+        return joined(_links(docs, classes, near.where("alike").select("a", "b"), shingle), roots), near.select("a", "b")
 
     def members(roots: DataFrame) -> DataFrame:
         return shared.join(roots.hint("merge"), "node", "left").select("key", "node", "hub", comp.alias("comp"))
 
     # each text with the least of its lists' least members
     tried = written(shared.where("hub < node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")), "least-hubs")
-    roots = linked(tried, None)
+    akin = _akin("x", "y")
+    roots, near = linked(tried, None, akin)
     # the least members of its other lists, where they are not joined yet
     hub_roots = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     open_ = members(roots).where("hub <> node").join(hub_roots.hint("merge"), "hub", "left").where(F.coalesce("hub_root", "hub") != F.col("comp"))
     pairs = open_.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
     pairs = written(pairs, "other-hubs")
     if not pairs.isEmpty():
-        roots = linked(pairs, roots)
-    # what shares a fine list and is still apart
-    placed = postings(sketch.join(roots.hint("merge"), "node", "left"), LISTED, FINE_GROUP)
+        roots, more = linked(pairs, roots, akin)
+        near = near.unionByName(more)
+    # what these have joined or found akin: all links of a region
+    regions = joined(near, roots).select("node", F.col("root").alias("region"))
+    regions = regions.unionByName(regions.select(F.col("region").alias("node"), "region").distinct())
+    regions = written(regions, "regions")
+    sets = _sets(docs, classes, regions.select("node"), shingle)
+    held = sets.join(regions.hint("merge"), "node").join(roots.hint("merge"), "node", "left").select("region", "node", comp.alias("root"), "hashes")
+    links, pairs = variant_pairs(written(held, "members"), SIMILAR)
+    roots = joined(links.unionByName(_holding(pairs, sets)), roots)
+    # what shares a fine list and is in different regions
+    placed = postings(sketch.join(regions.withColumnRenamed("region", "root").hint("merge"), "node", "left"), LISTED, FINE_GROUP)
     apart = F.coalesce("x.root", "x.node") < F.coalesce("y.root", "y.node")
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MOST_WORD_BITS
     told = (F.col("x.key") == F.col("y.key")) & apart & _like_size("x", "y") & near
     met = placed.alias("x").join(placed.alias("y").hint("merge"), told).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     pairs = written(met.distinct(), "fine-pairs")
     if not pairs.isEmpty():
-        roots = linked(pairs, roots)
+        roots, _ = linked(pairs, roots)
     rooted = classes.select(F.col("set_hash").alias("node")).join(roots.hint("merge"), "node", "left").select("node", comp.alias("component"))
     rooted = written(rooted, "rooted")
     return prints.select("doc_id", "text_hash", F.col("set_hash").alias("node")).join(rooted.hint("merge"), "node").select("doc_id", "text_hash", "component")

@@ -4,7 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestream.llm import near_copies, simhash
+from lodestream.llm import near_copies, simhash, variants
 from lodestream.llm.components import components
 
 
@@ -212,3 +212,63 @@ def test_components_of_chains_cycles_hubs_and_ready_stars(spark, monkeypatch):
     monkeypatch.setattr("lodestream.llm.components._least", None)
     stars = components(spark.createDataFrame([(1, 9), (8, 1), (3, 2), (8, 1)], "a bigint, b bigint"))
     assert {(r.node, r.root) for r in stars.collect()} == {(9, 1), (8, 1), (3, 2)}
+
+
+def test_variants_of_one_text_are_not_paired(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(140)]
+
+    def edited(words, n):
+        own = list(words)
+        for k in rng.sample(range(len(own)), n):
+            own[k] = f"v{rng.randrange(10**6)}"
+        return own
+
+    made = [edited(base, 6) for _ in range(200)]  # pairs of them are alike by about 0.5 to 0.7
+    made += [edited(made[k], 2) for k in range(0, 200, 20)]
+    texts = [" ".join(words) for words in made]
+    want, counts = brute_near(texts), {}
+    assert len(set(want)) == 200
+
+    def counted(df, name):
+        out = near_written(df, name)
+        if name in ("candidates", "fine-pairs", "variant-pairs", "near-links"):
+            counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    near_written = near_copies.written
+    for module in (near_copies, variants):
+        monkeypatch.setattr(module, "written", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found, first = {r.doc_id: r.component for r in near_copies.near_copies(df).collect()}, {}
+    assert [first.setdefault(found[k], k) for k in range(len(texts))] == want
+    # all pairs are 21945; work in proportion to the texts is some rows for each
+    assert sum(counts.get(name, 0) for name in ("fine-pairs", "variant-pairs")) < 10 * len(texts)
+
+
+def test_links_of_regions_equal_brute_force(spark):
+    rng = random.Random(8)
+    sets = []
+    for size in (5, 40, 130):
+        base = set(rng.sample(range(10**9), size))
+        lists = [base]
+        for k in range(60 if size > 100 else 25):  # variants, variants of variants, with differences that many share
+            own = set(rng.choice(lists) if k % 2 else base)
+            gone = rng.sample(sorted(own), min(len(own) - 1, rng.randrange(1 + size // 8)))
+            lists.append(own - set(gone) | set(rng.sample(range(3 * size), rng.randrange(1 + size // 8))))
+        sets += [(size % 2, own) for own in lists]  # two regions, one of which is of two kinds
+    sets += [(2, set(range(100 * k, 100 * k + 20 + k))) for k in range(4)] + [(2, set(range(300, 321)))]  # no base
+    sets = list({(r, frozenset(own)) for r, own in sets})
+    rows = [(r, k, k, sorted(own)) for k, (r, own) in enumerate(sets)]
+    links, pairs = variants.variant_pairs(spark.createDataFrame(rows, "region bigint, node bigint, root bigint, hashes array<bigint>"), (4, 5))
+
+    def alike(a, b):
+        return 5 * len(sets[a][1] & sets[b][1]) >= 4 * len(sets[a][1] | sets[b][1])
+
+    links = [tuple(r) for r in links.collect()]
+    assert len(links) > 9 and all(alike(*link) for link in links)
+    told = links + [(r.a, r.b) for r in pairs.collect() if alike(r.a, r.b)]
+    true = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a][0] == sets[b][0] and alike(a, b)]
+    assert set(true) - set(told) - {(b, a) for a, b in told}
+    got, want = ({r.node: r.root for r in components(spark.createDataFrame(x, "a bigint, b bigint")).collect()} for x in (told, true))
+    assert got == want
